@@ -3,8 +3,8 @@
 Every version of a document is a path; its text is a blob named by its SHA-256. The ledger
 is a Parquet table of (blob_id, rule_version, spans). A scan looks only at blobs whose pair
 with the current rule version the ledger lacks, appends what it finds, and joins findings
-back to every path that holds the blob. Texts never move: one row per unseen blob is chosen
-by hash, and only hashes, ids and spans are shuffled. A new rule version rescans all blobs and leaves the
+back to every path that holds the blob. One row per unseen blob is chosen
+by hash of its content; a text moves at most once, to the task that scans its blob. A new rule version rescans all blobs and leaves the
 old findings in place.
 
 Spans are code-point offsets, end exclusive, written ``kind:start:end``. The base kinds are
@@ -43,7 +43,7 @@ RULES: dict[str, tuple[re.Pattern[str], int, int]] = {
     "dsn": (re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,128}@"), 0, 0),
 }
 RULE_VERSION = "1"
-FEW = 100_000  # unseen blobs (40 bytes each) up to which they are broadcast and texts aren't shuffled
+FEW = 5_000  # unseen blobs (40 bytes each) up to which they are broadcast, so that a small update shuffles no texts
 LEDGER = "blob_id binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -135,8 +135,6 @@ def redact(docs: DataFrame, path: str) -> DataFrame:
     update_ledger(docs, path)
     ledger = read_ledger(docs.sparkSession, path).where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != ""))
     hits = ledger.select(F.col("blob_id").alias("_blob"), "spans")
-    if hits.limit(FEW + 1).count() <= FEW:
-        hits = F.broadcast(hits)
     rows = docs.drop("spans").withColumn("_id", blob_id())
     rows = rows.join(hits, F.col("_id") == F.col("_blob"), "left").select(*[c for c in docs.columns if c != "spans"], "spans")
     out = rows.mapInArrow(_redact_batches, rows.drop("spans").schema)
