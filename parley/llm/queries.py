@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.llm.ann import op5_ann
 from parley.llm.chat import OP2_SQL, op2_chat
 from parley.llm.decontaminate import op1_decontaminate
 from parley.llm.langid import op6_langid
@@ -18,7 +19,7 @@ from parley.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_repeats": op4_repeats, "op6_langid": op6_langid, "op8_toxicity": op8_toxicity, "op7_secrets": op7_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op1_decontaminate": op1_decontaminate, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_repeats": op4_repeats, "op5_ann": op5_ann, "op6_langid": op6_langid, "op8_toxicity": op8_toxicity, "op7_secrets": op7_secrets, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
