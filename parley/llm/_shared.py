@@ -34,10 +34,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write Parquet, and let go of the shuffle files behind it: the table takes their place."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: no lineage, safe to lose executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,3 +69,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids have no fold (null)."""
     return F.crc32(doc_id.cast("string")) % F.lit(folds)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that no column of ``columns`` has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm._shared import drop_path, new_path
+from parley.llm._shared import drop_path, new_path, write
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     last, mark = "", None
     for _ in range(most_rounds):
         path = new_path(spark, "components")
-        _star(_star(now, True), False).write.parquet(path)
+        write(_star(_star(now, True), False), path)
         now = spark.read.schema("a long, b long").parquet(path)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if last:

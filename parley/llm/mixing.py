@@ -70,13 +70,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return s.select(*sizes.columns, target.alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix") -> DataFrame:
-    """``docs`` plus size, source_size, target and taken (words, repeats counted)."""
+def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``carry``, all by default) plus size, source_size, target and taken (words, repeats counted)."""
     text = F.col("text")
     weight = quality_weight(text) if weight is None else weight
-    keep = [c for c in docs.columns if c not in ADDED]
+    keep = [c for c in carry or docs.columns if c.lower() not in ADDED]
     rows = docs.select(
-        *keep,
+        F.struct(*keep).alias("_row"),  # no name of a carried column meets one of ours
+        "source",
         word_count(text).alias("size"),
         (-F.log(unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))) / weight).alias("_key"),
         F.xxhash64(text).alias("_tie"),
@@ -100,13 +101,13 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix") -> Dat
     rows = rows.withColumn("_before", F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
     taken = (F.col("_epochs") * F.col("size") + part).cast("long")
-    return rows.select(*keep, "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("_row.*", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents; texts are reduced to a weight before any row moves."""
     docs = documents(spark, sf_dir)
-    return mix(docs.select("doc_id", "text", "source"), None).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, carry=["doc_id"])
 
 
 #: The same mix for DuckDB, with whole windows in place of buckets.

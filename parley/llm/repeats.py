@@ -9,6 +9,7 @@ with a smaller id. Exact, in four passes of bounded tasks:
    buckets, each pair once per task; further documents of the pair in that task are marked on the spot.
 2. Buckets. Documents that have a context which a smaller id has too lose all of it. An anchor
    seen in one context only is settled. Contexts that differ around a shared anchor go on.
+   Of those only contexts that agree with another on a half around the anchor can share a window.
 3. Index. The bytes of those contexts, one copy of each, form a ``RunIndex`` per bucket; streaming
    them through it gives, for each window, the least id that has it.
 4. Cut. Marks come back to the documents by id, and the rest is hashed.
@@ -16,8 +17,9 @@ with a smaller id. Exact, in four passes of bounded tasks:
 Contexts inside long copies agree, so only the rims of copies and edits reach the index. A
 string in a third of all documents costs a bucket one row per task, not per document.
 
-Hashes have 64 bits: two different contexts of one anchor pass as equal with a chance of
-2**-64 a pair. Windows are compared byte by byte in the index.
+Context hashes have 64 bits, of which 24 tell which half agrees: two different contexts of one
+anchor that agree on both halves pass as equal with a chance of 2**-40 a pair, others with less.
+Windows are compared byte by byte in the index.
 
 Defined results: null text is empty; a document shorter than ``LENGTH`` bytes keeps all;
 documents of one id (repeated rows) don't count as smaller than each other; rows with a null id
@@ -45,6 +47,7 @@ PIECE = 1 << 20  # bytes hashed at once; positions must fit in PLACE bits
 PLACE = 21
 FLUSH = 16 << 20  # bytes of text whose anchors a task gathers before it sends them
 BUCKET = 32 << 20  # bytes of text to a bucket
+FINER = 8  # index buckets to each of those: an index holds about 30 times its strings' bytes while it is built
 U = np.uint64
 
 
@@ -82,11 +85,16 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     at = at[np.concatenate(([True], at[1:] != at[:-1]))]
     piece = np.searchsorted(starts, at, "right") - 1
     a, b = np.maximum(starts[piece], at - SPAN), np.minimum(ends[piece], at + LENGTH)
+    # A window has SPAN / 2 bytes or more on one side of its anchor: contexts that share one agree on
+    # that half, whose hashes make the low 24 bits (0: the half isn't whole).
+    half = SPAN // 2
+    left = np.where(at - a >= half, h[np.maximum(at - half, 0)] % U(4095) + U(1), U(0))
+    right = np.where(b - at >= GRAM + half, h[np.minimum(at + half, len(h) - 1)] % U(4095) + U(1), U(0))
     near = (a, np.maximum(a, at - SPAN + GRAM), at, np.minimum(at + GRAM // 2, b - GRAM), b - GRAM)
     c = (at - a).astype(U) * U(1000003) + (b - at).astype(U)
     for k in near:
         c = _mix(c * U(0x9E3779B97F4A7C15) + h[k])
-    return piece, a, b, h[at], c
+    return piece, a, b, h[at], c >> U(24) << U(24) | left << U(12) | right
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -186,10 +194,11 @@ def _settle(table: pa.Table) -> pa.Table:
     head = np.concatenate(([True], c[1:] != c[:-1])) if len(c) else np.zeros(0, bool)
     least = d[head][np.cumsum(head) - 1] if len(c) else d
     lose = d > least
-    # Anchors with two contexts or more: the first document of each is asked for the bytes.
-    _, kinds = np.unique(a[head], return_counts=True)
+    # Contexts of one anchor that agree on a half: the first document of each is asked for the bytes.
     ask = np.zeros(len(d), bool)
-    ask[np.flatnonzero(head)] = np.repeat(kinds, kinds) > 1
+    for half in ((c[head] >> U(12)) & U(4095), c[head] & U(4095)):
+        _, at, times = np.unique(_mix(a[head] + half), return_inverse=True, return_counts=True)
+        ask[np.flatnonzero(head)[(times[at] > 1) & (half > 0)]] = True
     md, mc = np.concatenate((d[lose], _ints(table["mark_docs"], np.int64))), np.concatenate((c[lose], _ints(table["marks"], U)))
     docs = np.unique(np.concatenate((md, d[ask])))
     by, to = np.argsort(md, kind="stable"), np.lexsort((c[ask], d[ask]))
@@ -293,7 +302,7 @@ def removals(docs: DataFrame) -> DataFrame:
     sent = known.where(F.octet_length("text") >= LENGTH).mapInArrow(_send(buckets), SENT)
     settled = materialise(sent.groupBy("bucket").applyInArrow(_settle, MARKED), "settled")
     asks = settled.where(F.length("asks") > 0).groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
-    contexts = known.join(asks, "doc_id").mapInArrow(_answer(buckets), CONTEXTS)
+    contexts = known.join(asks, "doc_id").mapInArrow(_answer(buckets * FINER), CONTEXTS)
     parts = materialise(contexts.groupBy("bucket").applyInArrow(_index, PARTS), "parts")
     marks = settled.where(F.length("marks") > 0).select("doc_id", "marks", F.lit(None).cast("struct<context:long,windows:long>").alias("part"))
     marks = marks.union(parts.select("doc_id", F.lit(None).cast("binary"), F.struct("context", "windows")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm._shared import documents, materialise, new_path
+from parley.llm._shared import documents, fresh, materialise, new_path, write
 
 BASE = ("assign", "access", "hex")
 #: kind -> (pattern, group whose length counts, least length). Order is the order of kinds.
@@ -101,7 +101,7 @@ def update_ledger(docs: DataFrame, path: str) -> None:
     if chosen.limit(FEW + 1).count() <= FEW:
         chosen = F.broadcast(chosen)
     todo = versions.join(chosen, (F.col("blob_id") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi")
-    todo.select("blob_id", "text").mapInArrow(_scan_batches, LEDGER).dropDuplicates(["blob_id"]).write.mode("append").parquet(path)
+    write(todo.select("blob_id", "text").mapInArrow(_scan_batches, LEDGER).dropDuplicates(["blob_id"]), path, "append")
 
 
 def findings(docs: DataFrame, path: str) -> DataFrame:
@@ -111,33 +111,35 @@ def findings(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", blob_id().alias("blob_id")).join(ledger, "blob_id", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            if text and spans:
-                pieces, at = [], 0
-                for kind, a, b in sorted((x.split(":") for x in spans.split(",")), key=lambda x: (int(x[1]), -int(x[2]))):
-                    if int(b) > at:
-                        pieces += [text[at : max(at, int(a))], f"[{kind}]" if int(a) >= at else ""]
-                        at = int(b)
-                text = "".join([*pieces, text[at:]])
-            out.append(text)
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns(["spans"])
+def _redact_batches(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                if text and spans:
+                    pieces, at = [], 0
+                    for kind, a, b in sorted((x.split(":") for x in spans.split(",")), key=lambda x: (int(x[1]), -int(x[2]))):
+                        if int(b) > at:
+                            pieces += [text[at : max(at, int(a))], f"[{kind}]" if int(a) >= at else ""]
+                            at = int(b)
+                    text = "".join([*pieces, text[at:]])
+                out.append(text)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns([column])
+
+    return run
 
 
 def redact(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; other columns as they are.
 
-    Findings are joined by blob; the texts without findings don't take part in the join's
-    rewriting step. ``n_chars``, where present, is counted again.
+    ``n_chars``, where present, is counted again.
     """
     update_ledger(docs, path)
+    spans, own, blob = fresh(docs.columns, "spans_", "own_", "blob_")
     ledger = read_ledger(docs.sparkSession, path).where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != ""))
-    hits = ledger.select(F.col("blob_id").alias("_blob"), "spans")
-    rows = docs.drop("spans").withColumn("_id", blob_id())
-    rows = rows.join(hits, F.col("_id") == F.col("_blob"), "left").select(*[c for c in docs.columns if c != "spans"], "spans")
-    out = rows.mapInArrow(_redact_batches, rows.drop("spans").schema)
+    hits = ledger.select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
+    rows = docs.withColumn(own, blob_id()).join(hits, F.col(own) == F.col(blob), "left").select(*docs.columns, spans)
+    out = rows.mapInArrow(_redact_batches(spans), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm._shared import crc_fold, documents
+from parley.llm._shared import crc_fold, documents, fresh
 
 BUCKETS, TERMS, FACTORS, SAMPLE, FOLDS = 1 << 20, 1024, 6, 20_000, 5
 WORDS = re.compile(r"\w+")
@@ -164,22 +164,35 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return fit(x[order], y[order], only)
 
 
-def _score(machine: Machine):
+def _score(machine: Machine, text: str, score: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(machine.only)
         for batch in batches:
-            scores = [machine.score(terms(t)) for t in batch.column("text").to_pylist()]
-            yield batch.drop_columns(["text"]).append_column("score", pa.array(scores, pa.float64()))
+            scores = [machine.score(terms(t)) for t in batch.column(text).to_pylist()]
+            yield batch.drop_columns([text]).append_column(score, pa.array(scores, pa.float64()))
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """(columns of ``keep``, held_out, score, predicted) of every row of ``docs``; ``keep`` is doc_id by default.
+
+    A column of ``keep`` that is named like one of the three gives way to it.
+    """
+    machine = train(docs, labels)
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in ("held_out", "score", "predicted")]
+    text, score = fresh(keep, "text_", "score_")
+    rows = docs.select(*keep, F.coalesce(crc_fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), F.col("text").alias(text))
+    schema = rows.drop(text).select("*", F.lit(0.0).alias(score)).schema
+    return rows.mapInArrow(_score(machine, text, score), schema).withColumnRenamed(score, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay as they are."""
     machine = train(docs, labels)
-    rows = docs.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "text")
-    schema = rows.select("doc_id", "held_out", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(_score(machine), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    text, score = fresh(docs.columns, "text_", "score_")
+    rows = docs.withColumn(text, F.col("text"))
+    return rows.mapInArrow(_score(machine, text, score), docs.select("*", F.lit(0.0).alias(score)).schema).where(F.col(score) < threshold).drop(score)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
