@@ -56,7 +56,7 @@ def mask_ssn(text: Column) -> Column:
 def mask_cards(text: Column) -> Column:
     """Card numbers that pass Luhn's check masked, by folding over the candidates found."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit("(" + CARD + ")"), F.lit(1)))
-    good = F.filter(found, lambda c: F.luhn_check(F.regexp_replace(c, r"\D", "")))
+    good = F.filter(found, lambda c: F.call_function("luhn_check", F.regexp_replace(c, r"\D", "")))
     # Longest first, each as a whole token: a number is no match inside a longer run of digits.
     ordered = F.reverse(F.array_sort(F.transform(good, lambda c: F.struct(F.length(c), c.alias("c")))))
     return F.when(F.size(good) == 0, text).otherwise(F.aggregate(ordered, text, lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"\b\Q"), x["c"], F.lit(r"\E\b")), F.lit(r"\[REDACTED_CREDIT_CARD\]"))))

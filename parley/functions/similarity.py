@@ -25,10 +25,9 @@ def intent_similarity(a: str | None, b: str | None) -> float:
     return round(max(share, SequenceMatcher(None, x, y).ratio()), 4)
 
 
-@F.pandas_udf("double")
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([intent_similarity(x, y) for x, y in zip(a, b, strict=True)])
-
-
 def similarity(a: Column, b: Column) -> Column:
-    return _similarity(a, b)
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([intent_similarity(p, q) for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
