@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 def response_ids(raw: Column) -> Column:
     """Comma-separated ids: trimmed, distinct, in order; null and nan are none."""
-    ids = F.array_distinct(F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: (x != "") & (F.lower(x) != "nan")))
+    ids = F.array_distinct(F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != "nan")))
     return F.coalesce(ids, F.array().cast("array<string>"))
 
 

@@ -88,11 +88,12 @@ def review_rollup(events: DataFrame, label: str = "7d", least: int = MIN_SAMPLE,
     if least < 1:
         raise ConfigurationError("the sample size must be 1 or more")
     rows = review_cost(events, **costs).select(F.col("escalation_tier").alias("tier"), "operational_cost", "error_value", "ratio")
-    got = rows.groupingSets([[], ["tier"]], "tier").agg(
-        F.grouping("tier").alias("_all"), F.avg("ratio").alias("mean_ratio"), F.coalesce(F.sum("operational_cost"), F.lit(0.0)).alias("total_cost"), F.coalesce(F.sum("error_value"), F.lit(0.0)).alias("total_value"), F.count("*").alias("n_events"),
-    )
-    window = F.when(F.col("_all") == 1, F.lit(label)).otherwise(F.concat(F.lit(label + ":"), F.coalesce("tier", F.lit(""))))
-    return got.select(window.alias("window"), "tier", "mean_ratio", "total_cost", "total_value", "n_events", (F.col("n_events") < least).alias("low_confidence"))
+    tiers = rows.groupBy("tier").agg(F.sum("ratio").alias("_r"), F.count("ratio").alias("_k"), F.sum("operational_cost").alias("total_cost"), F.sum("error_value").alias("total_value"), F.count("*").alias("n_events"))
+    # The row for all sums the tiers' rows, and is there without any event, too.
+    every = tiers.agg(F.sum("_r").alias("_r"), F.coalesce(F.sum("_k"), F.lit(0)).alias("_k"), F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("total_cost"), F.coalesce(F.sum("total_value"), F.lit(0.0)).alias("total_value"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("n_events"))
+    every = every.withColumn("tier", F.lit(None).cast(rows.schema["tier"].dataType)).withColumn("window", F.lit(label))
+    got = every.unionByName(tiers.withColumn("window", F.concat(F.lit(label + ":"), F.coalesce("tier", F.lit("")))))
+    return got.select("window", "tier", (F.col("_r") / F.nullif(F.col("_k"), F.lit(0))).alias("mean_ratio"), "total_cost", "total_value", "n_events", (F.col("n_events") < least).alias("low_confidence"))
 
 
 def repeat_contacts(events: DataFrame, threads: DataFrame, hours: int = REPEAT_HOURS, least: float = INTENT_SIMILARITY) -> DataFrame:
