@@ -16,7 +16,7 @@ The sample (``SAMPLE`` vectors, chosen by hash) and the centroid count (``CENTRO
 are bounded, and there are about as many lists as a list has members; every vector is indexed.
 ``RATIO`` is measured: on near-random unit vectors, which have no clusters to rely on, 0.12 reaches
 a recall of 0.91 and 0.15 one of 0.96, over a quarter to a half of the lists; on clustered ones it
-keeps a few lists.
+keeps a few lists. A query's lists are added to until they hold k other vectors for sure.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; of the rows that repeat an id with equal vectors one
@@ -134,12 +134,19 @@ def _assign(shared):
     return run
 
 
-def _route(shared):
+def _route(shared, sizes: np.ndarray, k: int):
+    """Each query's lists. They hold COPIES * (k + 1) entries or more, so k other vectors at least, or are all lists."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, largest = shared.value
         for batch in batches:
             x = matrix(batch.column("vector"))
-            lists = graph.search(lift(x, largest, True), RATIO)
+            q = lift(x, largest, True)
+            lists = graph.search(q, RATIO)
+            for i, found in enumerate(lists):
+                if sizes[found].sum() < COPIES * (k + 1):
+                    near = np.argsort(_distances(q[i : i + 1], graph.c)[0], kind="stable")
+                    lists[i] = near[: int(np.searchsorted(np.cumsum(sizes[near]), COPIES * (k + 1))) + 1]
             row = np.repeat(np.arange(len(x)), [len(v) for v in lists])
             if len(row):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), batch.column("vec_id").take(pa.array(row)), batch.column("vector").take(pa.array(row))], names=["list", "vec_id", "vector"])
@@ -197,7 +204,10 @@ def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     counts = lists.groupBy("list").agg(F.count("*").alias("n"))  # one row a centroid
     part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / F.lit(BLOCK)))
     blocks = lists.join(F.broadcast(counts), "list").groupBy("list", part.alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("members"))
-    asked = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(_route(shared), "list int, vec_id long, vector array<double>"), "asked")
+    sizes = np.zeros(len(graph.c), np.int64)
+    for r in counts.collect():
+        sizes[r["list"]] = r["n"]
+    asked = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(_route(shared, sizes, k), "list int, vec_id long, vector array<double>"), "asked")
     crowd = asked.groupBy("list").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / F.lit(QUERIES)))
     queries = asked.join(F.broadcast(crowd), "list").groupBy("list", part.alias("part")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))

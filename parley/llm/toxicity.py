@@ -14,8 +14,8 @@ id. Term counts come from that sample; the scores cover every row and the whole
 Defined results: null and empty texts have no terms and score by the bias; repeated rows are
 scored alike; null ids have fold null, count as not held out and are never learned from;
 rows of ``labels`` with a null label are ignored and an id with several labels takes the
-largest; without labels of both classes every score is the constant share of toxic rows (0
-if there are none); an empty table gives no rows; extra columns are ignored.
+largest; without labels of both classes, or without a term that four texts share, every score
+is the constant share of toxic rows (0 if there are none); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,13 +148,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     counts = rows.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 4")
     size = rows.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, pos = size["n"], size["toxic"] or 0
+    share = pos / n if n else 0.0
+    flat = Machine({}, float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < pos < n:
-        share = pos / n if n else 0.0
-        return Machine({}, float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
+        return flat
     both, expected = F.col("clean") + F.col("toxic"), (F.col("clean") + F.col("toxic")) * F.lit(pos / n)
     chi = (F.col("toxic") - expected) ** 2 / expected + (F.col("toxic") - expected) ** 2 / (both - expected)
     best = counts.select("bucket", chi.alias("chi")).orderBy(F.desc("chi"), "bucket").limit(TERMS).collect()
     only = {r["bucket"]: i for i, r in enumerate(best)}
+    if not only:
+        return flat
     got = rows.mapInArrow(_collect(only), "label int, at array<int>, value array<float>").toArrow()
     x, y = np.zeros((got.num_rows, len(only)), np.float32), np.asarray(got["label"]).astype(np.float32)
     at = got["at"].combine_chunks()
