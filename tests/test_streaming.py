@@ -11,6 +11,8 @@ def feed(spark, path, rows, schema):
 
 
 def drain(stream, name, mode="append"):
+    # A timeout by processing time would go on with empty batches.
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     return stream.sparkSession.table(name).collect()
