@@ -260,3 +260,51 @@ def train_intents(rows: DataFrame, features: int = 1 << 14, text: str = "text",
 
     weighted = rows.join(class_weights(rows, label), label)
     return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep"), RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^a-z0-9]+"), HashingTF(inputCol="_w", outputCol="_x", numFeatures=features), LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", maxIter=30)]).fit(weighted)
+
+
+def claim_supported(fn: Callable[[str, str], float], claim: Column, contexts: Column, least: float = 0.5) -> Column:
+    """Whether a context supports the claim, or, if none does alone, all of them together; a failed score is 0."""
+
+    @F.pandas_udf("boolean")
+    def run(c: pd.Series, t: pd.Series) -> pd.Series:
+        def score(premise: str, claim: str) -> float:
+            try:
+                return float(fn(premise, claim))
+            except Exception:
+                return 0.0
+
+        def one(claim: str, texts) -> bool:
+            texts = [x for x in (texts if texts is not None else []) if x]
+            return any(score(x, claim) >= least for x in texts) or (len(texts) > 1 and score("\n".join(texts), claim) >= least)
+
+        return pd.Series([one(a, b) for a, b in zip(c, t, strict=True)])
+
+    return run(claim, contexts)
+
+
+def encode(fn: Callable[[list[str]], Any], text: Column, most_words: int | None = None) -> Column:
+    """Vectors of an injected encoder, a batch of texts at a time, cut to its ``most_words``; unit length."""
+    import numpy as np
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            texts = [t or "" for t in s]
+            if most_words is not None:
+                texts = [" ".join(t.split()[:most_words]) if len(t.split()) > most_words else t for t in texts]
+            v = np.asarray(fn(texts), dtype=float)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.Series((v / np.where(n == 0, 1, n)).tolist())
+
+    return run(text)
+
+
+def normalise_items(items: DataFrame) -> DataFrame:
+    """Evaluation items under common names: item_id, query, response, contexts, from whichever of the usual columns is there and filled."""
+    names = {"item_id": ("item_id", "example_id", "thread_id", "id"), "query": ("query", "tweet_text", "text"), "response": ("generated_response", "response", "answer"), "contexts": ("retrieved_contexts", "contexts")}
+    out = []
+    for name, options in names.items():
+        there = [F.col(c) for c in options if c in items.columns]
+        kind = "array<string>" if name == "contexts" else "string"
+        out.append((F.coalesce(*there).cast(kind) if there else F.lit(None).cast(kind)).alias(name))
+    return items.select(*out)

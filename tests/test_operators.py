@@ -395,3 +395,14 @@ def test_logs(spark, tmp_path):
     tables.log_escalations(d, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     assert tables.first_text(spark.createDataFrame([(" ", "x")], "a string, b string"), ["a", "b"]).first()["text"] == "x"
+
+
+def test_claims_encoders_and_items(spark):
+    df = spark.createDataFrame([("ab", ["a", "b"]), ("a", ["a"]), ("z", None)], "claim string, contexts array<string>")
+    fn = lambda premise, claim: 1.0 if set(claim) <= set(premise) else 0.0
+    assert [r[0] for r in df.select(agents.claim_supported(fn, F.col("claim"), F.col("contexts"))).collect()] == [True, True, False]
+    t = spark.createDataFrame([("a b c",), (None,)], "t string")
+    got = [r[0] for r in t.select(agents.encode(lambda x: [[float(len(s.split())), 0.0] for s in x], F.col("t"), 2)).collect()]
+    assert got == [[1.0, 0.0], [0.0, 0.0]]
+    n = agents.normalise_items(spark.createDataFrame([("e", None, "tweet")], "example_id string, query string, tweet_text string")).first()
+    assert (n["item_id"], n["query"], n["response"], n["contexts"]) == ("e", "tweet", None, None)
