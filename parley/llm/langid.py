@@ -37,7 +37,9 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def plain(text: str | None) -> bytes:
-    return NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    """Letters in small type, all else as blanks; empty for a text without a letter."""
+    got = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    return got.encode("utf-8", "replace") if any(map(str.isalpha, got)) else b""
 
 
 def dictionaries(texts: list[str]) -> list[bytes]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from parley.llm._shared import documents, materialise
 from parley.llm.components import components
 
-SHINGLE, BUDGET, MOST = 3, 2, 4000
+SHINGLE, BUDGET, MOST = 3, 2, 1000
 PIECE = 200_000  # shingles of a text whose bits are added up at once
 
 
