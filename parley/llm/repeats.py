@@ -46,8 +46,8 @@ SPAN = LENGTH - GRAM  # an anchor starts 0 to SPAN bytes after its window does
 PIECE = 1 << 20  # bytes hashed at once; positions must fit in PLACE bits
 PLACE = 21
 FLUSH = 16 << 20  # bytes of text whose anchors a task gathers before it sends them
-BUCKET = 32 << 20  # bytes of text to a bucket
-FINER = 8  # index buckets to each of those: an index holds about 30 times its strings' bytes while it is built
+BUCKET = 8 << 20  # bytes of text to a bucket
+FINER = 4  # index buckets to each of those: an index holds about 30 times its strings' bytes while it is built
 U = np.uint64
 
 
