@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 
-import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -208,11 +207,6 @@ def test_redact(docs, odd, spark):
     assert secrets.findings(docs([]), new_path(spark, "ledger")).count() == 0
 
 
-def test_targets():
-    duck = duckdb.connect()
-    assert duck.sql("select 1").fetchone() == (1,)
-
-
 def waterfill(sizes, cap=3.0):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: (1.0, 2.0, 3.0)[i % 3] for i, s in enumerate(order)}
