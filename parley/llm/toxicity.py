@@ -86,8 +86,8 @@ def _collect(only: dict[int, int]):
         for batch in batches:
             got = [terms(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.float32()))],
-                names=["label", "at", "value"],
+                [batch.column("label"), batch.column("key"), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.float32()))],
+                names=["label", "key", "at", "value"],
             )
 
     return run
@@ -158,13 +158,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     only = {r["bucket"]: i for i, r in enumerate(best)}
     if not only:
         return flat
-    got = rows.mapInArrow(_collect(only), "label int, at array<int>, value array<float>").toArrow()
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    got = keyed.mapInArrow(_collect(only), "label int, key long, at array<int>, value array<float>").toArrow()
+    got = got.sort_by([("label", "ascending"), ("key", "ascending")])  # rows arrive in any order; fitting must not depend on it
     x, y = np.zeros((got.num_rows, len(only)), np.float32), np.asarray(got["label"]).astype(np.float32)
     at = got["at"].combine_chunks()
     x[np.repeat(np.arange(len(y)), np.asarray(at.value_lengths())), np.asarray(at.flatten())] = np.asarray(got["value"].combine_chunks().flatten())
-    order = np.lexsort(x[:, :8].T)  # rows arrive in any order; fitting must not depend on it
-    order = order[np.argsort(y[order] + 1e-3 * x[order].sum(axis=1), kind="stable")]
-    return fit(x[order], y[order], only)
+    del got, at
+    return fit(x, y, only)
 
 
 def _score(machine: Machine, text: str, score: str):
