@@ -5,8 +5,10 @@
    of ``PASSAGE`` words, each a TF-IDF vector. A randomised SVD (Gaussian range finder, two power
    rounds, Rayleigh-Ritz) of the benchmark's windows and a bounded sample of corpus passages gives
    the latent space; every product with the matrix runs over the distributed passages.
-3. All passages of all documents are projected. One whose share of energy in benchmark terms is
-   under ``SHARE`` can't hold half an item's window and is skipped; the others meet the windows by cosine.
+3. All passages of all documents are searched in two ways. A passage and a window meet if the passage holds
+   terms of ``LIKELY`` of the window's own weight (an index finds all such pairs, whatever else the passage holds
+   and however common the item is). Passages with a share of ``SHARE`` of their energy in benchmark terms also
+   meet the windows by latent cosine, for items whose words are spread wider than a passage.
 4. Candidates are checked by a longest common subsequence of words, weighted by IDF, between the item and
    the text around the passage. ``SURE`` of the item's weight is a leak; from ``LIKELY`` on, the item's
    answer (its last ``ANSWER`` words) must also be there, which is what a paraphrase keeps.
@@ -98,6 +100,46 @@ class Space:
                 self.owner.append(k)
                 rows.append(ids[s : s + ITEM])
         self.rows, self.owner = rows, np.array(self.owner, np.int64)
+        self._index()
+
+    def _index(self) -> None:
+        """Windows by their heaviest terms: without those, less than LIKELY of a window's weight is left."""
+        width = max(map(len, self.rows), default=0)
+        self.held = np.full((len(self.rows), width), -1, np.int64)  # distinct columns of each window
+        self.part = np.zeros((len(self.rows), width))  # their shares of its weight
+        self.rest = np.zeros(len(self.rows))  # share outside the index
+        window, term, share = [], [], []
+        for j, ids in enumerate(self.rows):
+            u, n = np.unique(ids, return_counts=True)
+            w = n * (self.idf[u].astype(np.float64) + 1e-6)
+            order = np.argsort(-w, kind="stable")
+            u, w = self.column[u[order]], w[order] / w.sum()
+            left = np.append(np.cumsum(w[::-1])[::-1], 0.0)
+            k = int(np.argmax(left < LIKELY - 1e-9))
+            self.held[j, : len(u)], self.part[j, : len(u)], self.rest[j] = u, w, left[k]
+            window += [j] * k
+            term += u[:k].tolist()
+            share += w[:k].tolist()
+        order = np.argsort(np.array(term, np.int64), kind="stable")
+        self.window, self.share = np.array(window, np.int64)[order], np.array(share)[order]
+        self.first = np.searchsorted(np.array(term, np.int64)[order], np.arange(self.terms + 1))
+
+    def holding(self, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All (passage, window) where the passage holds terms of LIKELY of the window's weight."""
+        lens = np.fromiter(map(len, passages), np.int64, len(passages))
+        col = self.column[np.concatenate(passages)].astype(np.int64)
+        key = np.unique((np.repeat(np.arange(len(passages)), lens) * self.terms + col)[col >= 0])
+        row, col = key // self.terms, key % self.terms
+        n = self.first[col + 1] - self.first[col]
+        at = np.repeat(self.first[col] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pair, where = np.unique(np.repeat(row, n) * len(self.rows) + self.window[at], return_inverse=True)
+        sums = np.bincount(where, self.share[at], len(pair))
+        pair = pair[sums + self.rest[pair % len(self.rows)] >= LIKELY - 1e-9]
+        row, window = pair // len(self.rows), pair % len(self.rows)
+        want = row[:, None] * self.terms + self.held[window]
+        here = (key[np.minimum(np.searchsorted(key, want), len(key) - 1)] == want) & (self.held[window] >= 0) if len(key) else want < 0
+        ok = (self.part[window] * here).sum(axis=1) >= LIKELY - 1e-9
+        return row[ok], window[ok]
 
     def times(self, rows: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
         """TF-IDF rows (as lists of buckets) times a terms x k basis."""
@@ -208,14 +250,23 @@ def verify(item: np.ndarray, near: np.ndarray, idf: np.ndarray) -> tuple[bool, f
     return weighted_lcs(tail, weight[-ANSWER:], near) >= 0.8 * weight[-ANSWER:].sum(), share
 
 
-def near(space: Space, basis: np.ndarray, windows: np.ndarray, held: list[tuple[int, int, np.ndarray]], found: dict) -> None:
-    """Candidates among passages (document, start, its ids) by cosine, checked; ``found`` gets the best share of each pair."""
+def near(space: Space, basis: np.ndarray, windows: np.ndarray, some: list[tuple[int, int, np.ndarray, bool]], found: dict) -> None:
+    """Candidates among passages (document, start, its ids, whether to go by cosine) checked; ``found`` gets the best share of each pair."""
+    if not some:
+        return
+    row, window = space.holding([ids[s : s + PASSAGE] for _, s, ids, _ in some])
+    latent = np.fromiter((x[3] for x in some), bool, len(some))
+    keep = latent.copy()
+    keep[row] = True
+    held, row = [x[:3] for x, k in zip(some, keep, strict=True) if k], (np.cumsum(keep) - 1)[row]
     if not held:
         return
     p = space.times([ids[s : s + PASSAGE] for _, s, ids in held], basis)
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
     cos = p @ windows.T
-    for r, j in zip(*np.nonzero(cos >= NEAR), strict=True):
+    met = (cos >= NEAR) & latent[keep][:, None]
+    met[row, window] = True
+    for r, j in zip(*np.nonzero(met), strict=True):
         (i, s, ids), k = held[r], int(space.owner[j])
         known = found.get((i, k), (0.0, 0.0))[0]
         if known < SURE:
@@ -232,13 +283,14 @@ def _search(shared):
         inside = np.where(space.column >= 0, energy, 0.0)
         for batch in batches:
             names, found = batch.column("doc_id").to_pylist(), {}
-            held: list[tuple[int, int, np.ndarray]] = []
+            held: list[tuple[int, int, np.ndarray, bool]] = []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = buckets_of(words_of(text))
                 starts = cut(len(ids), PASSAGE)
                 ends = np.minimum(starts + PASSAGE, len(ids))
                 e, v = np.concatenate(([0.0], np.cumsum(energy[ids]))), np.concatenate(([0.0], np.cumsum(inside[ids])))
-                held += [(i, s, ids) for s in starts[v[ends] - v[starts] >= SHARE * (e[ends] - e[starts])].tolist()]
+                latent = v[ends] - v[starts] >= SHARE * (e[ends] - e[starts])
+                held += [(i, s, ids, c) for s, c in zip(starts.tolist(), latent.tolist(), strict=True)]
                 while len(held) >= 2000:
                     near(space, basis, windows, held[:2000], found)
                     held = held[2000:]
