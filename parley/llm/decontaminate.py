@@ -18,8 +18,9 @@ search cover every document. Items are taken in blocks of ``BLOCK``, so no step
 the benchmark than that.
 
 Defined results: null and empty texts (of either table) have no passages and no leaks; repeated
-rows of ``documents`` each report; of repeated rows of ``benchmark`` with one id the larger text
-counts; items shorter than ``LEAST`` words are ignored as too short to tell; texts are read whole
+rows of ``documents`` each report; every
+different text of an item id is searched, and a document reports an id once, with its best share; items
+without an id report a null item_id; items shorter than ``LEAST`` words are ignored as too short to tell; texts are read whole
 whatever their length; empty tables give no rows; extra columns are ignored.
 """
 
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.llm._shared import documents, materialise
 
@@ -295,9 +297,13 @@ def _search(shared):
                     near(space, basis, windows, held[:2000], found)
                     held = held[2000:]
             near(space, basis, windows, held, found)
-            if found:
-                keys = sorted(found)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in keys], batch.column("doc_id").type), pa.array([space.words[k][0] for _, k in keys], pa.int64()), pa.array([found[x][0] for x in keys]), pa.array([found[x][1] for x in keys])], names=["doc_id", "item_id", "lcs_share", "cosine"])
+            best: dict[tuple, tuple[float, float]] = {}
+            for (i, k), x in found.items():
+                at = (i, space.words[k][0])
+                best[at] = max(best.get(at, x), x)
+            if best:
+                keys, found = sorted(best, key=str), best
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in keys], batch.column("doc_id").type), pa.array([k for _, k in keys], pa.int64()), pa.array([found[x][0] for x in keys]), pa.array([found[x][1] for x in keys])], names=["doc_id", "item_id", "lcs_share", "cosine"])
 
     return run
 
@@ -305,8 +311,8 @@ def _search(shared):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs_share, cosine): items that a document holds. A document without a leak has no row."""
     spark = docs.sparkSession
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("lcs_share"), F.lit(0.0).alias("cosine")).schema
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
+    schema = docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("lcs_share"), F.lit(0.0).alias("cosine")).schema
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     blocks = -(-items.count() // BLOCK)
     if not blocks:
         return spark.createDataFrame([], schema)
@@ -317,7 +323,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passages = materialise(picked.select("text").mapInArrow(_passages, "ids array<int>"), "passages")
     out = None
     for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         space = Space([(r["item_id"], r["text"]) for r in mine], idf)
         if not space.rows:
             continue
@@ -325,9 +331,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows = space.times(space.rows, basis)
         windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
         shared = spark.sparkContext.broadcast((space, basis, windows))
-        found = rows.mapInArrow(_search(shared), schema)
+        # Rows of one id and text find the same, so blocks are put together by both.
+        both = rows if blocks == 1 else rows.select(F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).alias("doc_id"), "text")
+        found = both.mapInArrow(_search(shared), schema if blocks == 1 else T.StructType([T.StructField("doc_id", both.schema["doc_id"].dataType), *schema.fields[1:]]))
+        if blocks > 1:
+            found = found.groupBy("doc_id", "item_id").agg(F.count("*").cast("int").alias("copies"), F.max(F.struct("lcs_share", "cosine")).alias("best"))
         out = found if out is None else out.union(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    if out is None:
+        return spark.createDataFrame([], schema)
+    if blocks == 1:
+        return out
+    best = out.groupBy("doc_id", "item_id").agg(F.max("copies").alias("copies"), F.max("best").alias("best"))
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return best.select(F.col("doc_id.doc_id").alias("doc_id"), "item_id", "best.lcs_share", "best.cosine")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

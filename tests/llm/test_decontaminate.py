@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from parley.llm import decontaminate
 
 
@@ -23,3 +25,21 @@ def test_short_and_widely_leaked_items(docs, spark):
         rows.append((i, " ".join(t)))
     bench = spark.createDataFrame([*short, wide], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(rows), bench).collect()} == leaks
+
+
+@pytest.mark.parametrize("block", [20_000, 4])
+def test_every_text_of_an_item_id(docs, spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    items = [(i // 2 if i < 8 else None, " ".join(rng.sample(vocab, 20))) for i in range(10)]
+    rows, leaks = [], []
+    for i in range(10):
+        t = rng.choices(vocab, k=60) + items[i][1].split() + rng.choices(vocab, k=60)
+        rows.append((i, " ".join(t)))
+        leaks.append((i, items[i][0]))
+    rows += [rows[0], (20, items[2][1] + " " + items[3][1]), (None, rows[5][1]), (21, " ".join(rng.choices(vocab, k=90)))]
+    leaks += [leaks[0], (20, 1), (None, 2)]
+    got = decontaminate.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == ["doc_id", "item_id", "lcs_share", "cosine"]
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got.collect()), key=str) == sorted(leaks, key=str)
