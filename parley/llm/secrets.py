@@ -9,7 +9,7 @@ old findings in place.
 
 Spans are code-point offsets, end exclusive, written ``kind:start:end``. The base kinds are
 ``assign``, ``access`` and ``hex`` (leftmost, non-overlapping per kind, the failing matches
-dropped after matching). The rule set adds private-key headers, prefixed service tokens,
+dropped after matching). The rule set adds private keys (header, body and footer), prefixed service tokens,
 web tokens and connection strings with a password.
 
 Defined results: null text is the empty blob, which has no spans; repeated rows each come
@@ -32,17 +32,23 @@ from pyspark.sql import types as T
 from parley.llm._shared import documents, fresh, materialise, new_path, write
 
 BASE = ("assign", "access", "hex")
+#: A private key from its header to the matching footer; without one, through the base64 that follows (a short last line has a line of its own).
+PEM = re.compile(
+    r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])+(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=:@])))+(?:(?:\s*\n\s*|\\n)[A-Za-z0-9+/]{1,15}={0,2}(?=\s*(?:\n|\Z)))?)?"
+)
 #: kind -> (pattern, group whose length counts, least length). Order is the order of kinds.
 RULES: dict[str, tuple[re.Pattern[str], int, int]] = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     "hex": (re.compile(r"[0-9a-f]{16,}"), 0, 16),
-    "pem": (re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), 0, 0),
+    "pem": (PEM, 0, 0),
     "prefixed": (re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,})"), 0, 0),
     "jwt": (re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
     "dsn": (re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,128}@"), 0, 0),
 }
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 FEW = 5_000  # unseen blobs (40 bytes each) up to which they are broadcast, so that a small update shuffles no texts
 LEDGER = "blob_id binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
