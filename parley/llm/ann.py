@@ -8,15 +8,15 @@ whose distance is within ``1 + BOUNDARY`` of it (at most ``COPIES``); a list lon
 ``BLOCK`` is stored as blocks, so a vector repeated a million times makes no long task.
 
 A query walks a graph over the centroids best first, keeps the lists whose centroid is within
-``1 + RATIO`` of the nearest, and is joined with those lists' blocks; scores are double
+a ratio of the nearest, and is joined with those lists' blocks; scores are double
 precision products of the original vectors. Blocks report their best ``k`` in the final order
 (score, then smaller id), so ties across blocks end exactly.
 
 The sample (``SAMPLE`` vectors, chosen by hash) and the centroid count (``CENTROIDS`` at most)
 are bounded, and there are about as many lists as a list has members; every vector is indexed.
-``RATIO`` is measured: on near-random unit vectors, which have no clusters to rely on, 0.12 reaches
-a recall of 0.91 and 0.15 one of 0.96, over a quarter to a half of the lists; on clustered ones it
-keeps a few lists. A query's lists are added to until they hold k other vectors for sure.
+The ratio comes from the data: up to ``ASKED`` sampled vectors are queries whose true neighbours in the
+sample are found by brute force, and it is the least one, ``1 + RATIO`` at least, at which the lists
+kept hold ``TARGET`` of them. A query's lists are added to until they hold k other vectors for sure.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; of the rows that repeat an id with equal vectors one
@@ -40,6 +40,7 @@ SAMPLE, CENTROIDS = 20_000, 4096
 BALANCE, COPIES, BOUNDARY, BLOCK = 1.5, 3, 0.05, 512
 QUERIES = 128  # queries of a list that meet a block at once
 RATIO, DEGREE, BEAM = 0.15, 24, 48
+ASKED, TARGET = 500, 0.97
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -117,6 +118,31 @@ def lift(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
     return np.concatenate((x, extra[:, None]), axis=1)
 
 
+def _kept(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances to all centroids, the nearest COPIES of each vector, and which of those lists it joins."""
+    d = np.sqrt(_distances(x, c))
+    near = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
+    best = np.take_along_axis(d, near, axis=1)
+    return d, near, best <= (1 + BOUNDARY) * best[:, :1]
+
+
+def fitted_ratio(x: np.ndarray, c: np.ndarray, largest: float, k: int, seed: int = 11) -> float:
+    """The ratio at which sampled queries reach TARGET of their true neighbours in the sample ``x``."""
+    if len(x) < 2:
+        return RATIO
+    kept = [_kept(lift(x[i : i + 1000], largest, False), c)[1:] for i in range(0, len(x), 1000)]
+    near, joins = np.concatenate([n for n, _ in kept]), np.concatenate([j for _, j in kept])
+    asked = np.random.default_rng(seed).permutation(len(x))[:ASKED]
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    m = min(k, len(x) - 1)
+    true = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    d = np.sqrt(_distances(lift(x[asked], largest, True), c))
+    away = np.take_along_axis(d[:, None, :], near[true].reshape(len(asked), 1, -1), axis=2).reshape(len(asked), m, -1)
+    away = np.where(joins[true], away, np.inf).min(axis=2) / np.maximum(d.min(axis=1), 1e-12)[:, None]
+    return max(RATIO, float(np.quantile(away, TARGET, method="higher")) - 1 + 1e-9)
+
+
 def _assign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, largest = shared.value
@@ -124,17 +150,14 @@ def _assign(shared):
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
                 x = matrix(part.column("vector"))
-                d = np.sqrt(_distances(lift(x, largest, False), graph.c))
-                near = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
-                best = np.take_along_axis(d, near, axis=1)
-                keep = best <= (1 + BOUNDARY) * best[:, :1]
+                _, near, keep = _kept(lift(x, largest, False), graph.c)
                 row, nth = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(near[row, nth].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("vector").take(pa.array(row))], names=["list", "vec_id", "vector"])
 
     return run
 
 
-def _route(shared, sizes: np.ndarray, k: int):
+def _route(shared, sizes: np.ndarray, k: int, ratio: float):
     """Each query's lists. They hold COPIES * (k + 1) entries or more, so k other vectors at least, or are all lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +165,7 @@ def _route(shared, sizes: np.ndarray, k: int):
         for batch in batches:
             x = matrix(batch.column("vector"))
             q = lift(x, largest, True)
-            lists = graph.search(q, RATIO)
+            lists = graph.search(q, ratio)
             for i, found in enumerate(lists):
                 if sizes[found].sum() < COPIES * (k + 1):
                     near = np.argsort(_distances(q[i : i + 1], graph.c)[0], kind="stable")
@@ -198,6 +221,7 @@ def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     if not len(order):  # a sample of a tiny table may be empty
         x = matrix(rows.limit(1).toArrow()["vector"].combine_chunks())
     graph = Graph(balanced_centroids(lift(x, size["largest"], False), int(min(CENTROIDS, max(1, round(size["n"] ** 0.5))))))
+    ratio = fitted_ratio(x, graph.c, size["largest"], k)
     # At most CENTROIDS vectors and DEGREE edges each: a few megabytes.
     shared = spark.sparkContext.broadcast((graph, size["largest"]))
     lists = materialise(rows.mapInArrow(_assign(shared), "list int, vec_id long, vector array<double>"), "lists")
@@ -207,7 +231,7 @@ def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     sizes = np.zeros(len(graph.c), np.int64)
     for r in counts.collect():
         sizes[r["list"]] = r["n"]
-    asked = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(_route(shared, sizes, k), "list int, vec_id long, vector array<double>"), "asked")
+    asked = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(_route(shared, sizes, k, ratio), "list int, vec_id long, vector array<double>"), "asked")
     crowd = asked.groupBy("list").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / F.lit(QUERIES)))
     queries = asked.join(F.broadcast(crowd), "list").groupBy("list", part.alias("part")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
