@@ -8,11 +8,13 @@ and takes documents until the prefix sum reaches the rest; the document at the b
 taken in part, so a source ends within one word of its budget.
 
 No source is ever sorted in one task: keys fall into about sqrt(rows) buckets of a source,
-bucket sums are prefix-summed, and rows are sorted only inside their bucket.
+bucket sums are prefix-summed, and rows are sorted only inside their bucket. The buckets follow the
+distribution of the source's keys, which its weights determine (a class for each eighth of a power of two), so they are even for any weights.
 
 Defined results: null text has size 0 and is taken 0 times; the null source is a source of
 its own and sorts last; rows that repeat an id count as separate documents (equal keys are
-ordered by size, then text hash; fully equal rows are interchangeable); an empty table
+ordered by size, then text hash; fully equal rows are interchangeable); rows without an id draw by their text; a weight
+that is null or not above zero counts as 2^-32; an empty table
 gives an empty result. Extra columns are carried through ``mix`` unless their name is one
 that it adds, in which case the added one replaces it.
 """
@@ -70,29 +72,37 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return s.select(*sizes.columns, target.alias("target"))
 
 
+def share_below(key: str, classes: str) -> Column:
+    """How many of a source's rows are expected to have a smaller key, from its weight classes (array of w, n)."""
+    return F.aggregate(classes, F.lit(0.0), lambda a, c: a + c["n"] * (1 - F.exp(-F.col(key) * c["w"])))
+
+
 def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``carry``, all by default) plus size, source_size, target and taken (words, repeats counted)."""
     text = F.col("text")
     weight = quality_weight(text) if weight is None else weight
     keep = [c for c in carry or docs.columns if c.lower() not in ADDED]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.coalesce(F.md5(text), F.lit(""))))
     rows = docs.select(
         F.struct(*keep).alias("_row"),  # no name of a carried column meets one of ours
         "source",
         word_count(text).alias("size"),
-        (-F.log(unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))) / weight).alias("_key"),
-        F.xxhash64(text).alias("_tie"),
+        (-F.log(unit_hash(F.lit(seed), name))).alias("_draw"),
+        F.when(weight > 0, weight.cast("double")).otherwise(F.lit(2.0**-32)).alias("_weight"),
+        F.md5(text).alias("_tie"),
     )
-    light = docs.select("source", word_count(text).alias("size"))
-    sources = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    rows = rows.withColumn("_key", F.col("_draw") / F.col("_weight")).withColumn("_class", F.round(8 * F.log2("_weight"))).drop("_draw", "_weight")
+    rows = materialise(rows, "mix-rows")  # texts are read and counted once
+    classes = rows.groupBy("source", "_class").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    sources = classes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("_n"), F.collect_list(F.struct(F.pow(F.lit(2.0), F.col("_class") / 8).alias("w"), F.col("n").alias("n"))).alias("_classes"))
     plan = source_targets(sources).withColumnRenamed("source", "_source")
     plan = plan.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("_rest", F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long"))
     plan = plan.withColumn("_buckets", F.ceil(F.sqrt(F.col("_n"))).cast("double"))
     plan = materialise(plan, "mix-plan")
     plan = F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source", "_n")
-    # exp(-key) is uniform for weight 1: buckets of even width then hold about as many rows each.
-    rows = rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets")))
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source")
+    rows = rows.withColumn("_bucket", F.floor(share_below("_key", "_classes") / F.col("_n") * F.col("_buckets"))).drop("_classes", "_n", "_class")
     sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
@@ -116,7 +126,7 @@ WITH d AS (
   SELECT doc_id, source, md5(text) AS tie,
     COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     COALESCE(1.0::DOUBLE - least(0.75::DOUBLE, 3.0::DOUBLE * ((length(text) - length(translate(text, '#$%&*|!~^=+<>{}[]\/@_', '')))::DOUBLE / greatest(length(text), 1)::DOUBLE)), 1.0::DOUBLE) AS w,
-    (('0x' || substr(md5('mix|' || COALESCE(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+    (('0x' || substr(md5('mix|' || COALESCE(doc_id::VARCHAR, 'null|' || COALESCE(md5(text), ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM s),

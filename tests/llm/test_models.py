@@ -180,23 +180,28 @@ def test_neighbours(spark):
     x = centres[rng.integers(0, 12, 1500)] + 0.3 * rng.normal(size=(1500, 16))
     x[300:330] = x[40]
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
-    x = np.array([np.float32(r) for r in x], np.float64)
+    # A shorter vector counts as if it ended in zeros; the other odd rows take no part.
+    x = np.array([np.float32(r) for r in x] + [[1.0] * 3 + [0.0] * 13], np.float64)
+    name = [*range(1500), 2080]
     bad = [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [None] + [1.0] * 15, 0), (2060, [float("nan")] * 16, 0), (2080, [1.0] * 3, 0), (None, [1.0] * 16, 0)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit(1))
     got = {}
     for r in ann.search(df).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 1500, 20))
+    assert set(got) == {*range(0, 1500, 20), 2080}
     hit = 0
     for q, found in got.items():
         found.sort()
-        s = x @ x[q]
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(1500), -s))[:20]
-        hit += len(set(want.tolist()) & {v for _, v, _ in found})
-        assert [r for r, _, _ in found] == list(range(1, 21)) and np.allclose([x[v] @ x[q] for _, v, _ in found], [c for *_, c in found])
+        s = x @ x[name.index(q)]
+        s[name.index(q)] = -np.inf
+        want = np.lexsort((name, -s))[:20]
+        hit += len({name[i] for i in want} & {v for _, v, _ in found})
+        assert [r for r, _, _ in found] == list(range(1, 21)) and np.allclose([s[name.index(v)] for _, v, _ in found], [c for *_, c in found])
         assert [(-c, v) for _, v, c in found] == sorted((-c, v) for _, v, c in found)
     assert hit >= 0.9 * 20 * len(got)
+    # Rows of one id with different vectors are queries of their own; equal rows count once.
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, ann.search(twice).collect())) == [(0, 1, 1, 1.0), (0, 1, 2, 2.0), (0, 2, 1, 0.0), (0, 2, 2, 0.0)]
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id IN (0, 1, 2)")).count() == 2
 
 

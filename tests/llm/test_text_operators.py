@@ -228,6 +228,24 @@ def test_source_targets(spark, sizes):
     assert got == {s: pytest.approx(t) for s, t in waterfill(sizes).items()}
 
 
+@pytest.mark.parametrize("weights", [[0.25], [1.0], [0.25, 0.5, 1.0, 40.0]])
+def test_buckets_are_even_for_any_weights(spark, weights):
+    n, keys = 20_000, 100
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("id") % len(weights) + 1).cast("int"))
+    rows = spark.range(n).withColumn("key", -F.log(mixing.unit_hash(F.col("id").cast("string"))) / w)
+    rows = rows.withColumn("classes", F.array(*(F.struct(F.lit(x).alias("w"), F.lit(n // len(weights)).alias("n")) for x in weights)))
+    got = [r["count"] for r in rows.groupBy(F.floor(mixing.share_below("key", "classes") / n * keys).alias("b")).count().collect()]
+    assert len(got) == keys and max(got) < 1.4 * n / keys and min(got) > 0.6 * n / keys
+
+
+def test_mix_without_ids(docs):
+    """Rows without an id draw by their texts, and the same texts draw the same."""
+    rows = [(None, " ".join(f"w{i}" for i in range(k % 9))) for k in range(60)]
+    got = mixing.mix(docs(rows), weight=F.lit(0.25)).collect()
+    assert len(got) == 60 and sum(r["taken"] for r in got) == round(got[0]["target"])
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs(rows), weight=F.lit(0.25)).collect()))
+
+
 def test_mix(docs, odd):
     rows = [(i, "w " * random.randint(0, 40), "en", random.choice(["a", "b", "b", "b", "c", None])) for i in range(300)]
     got = mixing.mix(docs(rows)).collect()
