@@ -1,26 +1,30 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed terms over all documents.
-2. Benchmark items are cut into windows of ``ITEM`` words, documents into overlapping passages
-   of ``PASSAGE`` words, each a TF-IDF vector. A randomised SVD (Gaussian range finder, two power
-   rounds, Rayleigh-Ritz) of the benchmark's windows and a bounded sample of corpus passages gives
-   the latent space; every product with the matrix runs over the distributed passages.
-3. All passages of all documents are searched in two ways. A passage and a window meet if the passage holds
+2. Benchmark items are cut into windows of ``ITEM`` words, documents into passages
+   of ``PASSAGE`` words, each a TF-IDF vector over the benchmark's terms. One distributed pass over all documents
+   sketches the passages' Gram matrix with a random sign matrix (a Nystrom sketch, summed per task); a randomised
+   SVD (Gaussian range finder, power rounds, Rayleigh-Ritz) of the windows and that sketch gives the latent space.
+3. All overlapping passages of all documents are searched in two ways. A passage and a window meet if their latent cosine
+   is ``NEAR`` or more, where the passage has its whole TF-IDF norm, terms outside the benchmark included; so a passage with less than
+   ``NEAR`` squared of its energy in benchmark terms can't reach it and isn't projected. They also meet if the passage holds
    terms of ``LIKELY`` of the window's own weight (an index finds all such pairs, whatever else the passage holds
-   and however common the item is). Passages with a share of ``SHARE`` of their energy in benchmark terms also
-   meet the windows by latent cosine, for items whose words are spread wider than a passage.
-4. Candidates are checked by a longest common subsequence of words, weighted by IDF, between the item and
+   and however common the item is).
+4. Candidates are checked by a longest common subsequence of words (32-bit hashes), weighted by IDF, between the item and
    the text around the passage. ``SURE`` of the item's weight is a leak; from ``LIKELY`` on, the item's
-   answer (its last ``ANSWER`` words) must also be there, which is what a paraphrase keeps.
+   answer (its last ``ANSWER`` words) must also be there, which is what a paraphrase keeps. ``lcs_share`` is
+   that of the first passage that is sure, else the best.
 
-Sample: passages of about ``SAMPLE`` documents, chosen by hash, fit the latent space; counts and
-search cover every document. Items are taken in blocks of ``BLOCK``, so no step holds more of
-the benchmark than that.
+Items of fewer than ``LEAST`` words are too short for shares: they are leaks where they stand word for word
+and chance doesn't explain it, that is if their words' IDF sums to ``RARE`` more than any single word's can.
+
+Counts, sketch and search cover every document. Items are taken in blocks of about ``BLOCK``
+(fewer if they are long), so no step holds more of the benchmark than that.
 
 Defined results: null and empty texts (of either table) have no passages and no leaks; repeated
 rows of ``documents`` each report; every
 different text of an item id is searched, and a document reports an id once, with its best share; items
-without an id report a null item_id; items shorter than ``LEAST`` words are ignored as too short to tell; texts are read whole
+without an id report a null item_id; texts are read whole
 whatever their length; empty tables give no rows; extra columns are ignored.
 """
 
@@ -34,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from parley.llm._shared import documents, materialise
+from parley.llm._shared import documents
 
 BUCKETS = 1 << 18
 ITEM, PASSAGE = 16, 32  # words; strides are half, so any ITEM words lie inside one passage
 RANK, EXTRA, ROUNDS = 256, 16, 2
-SAMPLE, BLOCK, LEAST = 200, 20_000, 5
-CORPUS = 0.1  # weight of the corpus sample in the latent space, against the windows
-SHARE, NEAR = 0.3, 0.4
+BLOCK, BYTES = 20_000, 4_000_000  # items, and bytes of their texts, of a block
+LEAST, RARE = 5, 1.0
+CORPUS = 0.1  # weight of the corpus in the latent space, against the windows
+NEAR = 0.4
 SURE, LIKELY, ANSWER = 0.55, 0.4, 8
 PART = 4096
 #: Bytes between words: ASCII other than letters and digits. Other characters are letters here.
@@ -53,6 +59,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(BLANK).split()
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
 def buckets_of(words: list[bytes] | set[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (BUCKETS - 1)
 
@@ -68,13 +78,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, [-1]))), pa.array(np.concatenate((sums[at], [n])))], names=["bucket", "n"])
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """IDF of every bucket: BUCKETS numbers whatever the corpus."""
+def idf_table(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """IDF of every bucket, BUCKETS numbers whatever the corpus, and the most that a bucket can have."""
     got = docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = np.asarray(got["bucket"]), np.asarray(got["n"])
     total, df = n[at < 0].sum(), np.zeros(BUCKETS)
     df[at[at >= 0]] = n[at >= 0]
-    return np.log((total + 2) / (df + 1)).astype(np.float32)
+    return np.log((total + 2) / (df + 1)).astype(np.float32), float(np.log(total + 2))
 
 
 def cut(n: int, width: int) -> np.ndarray:
@@ -87,21 +97,32 @@ def cut(n: int, width: int) -> np.ndarray:
 class Space:
     """Benchmark terms, their weights and the latent basis; windows of the items as unit latent vectors."""
 
-    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray) -> None:
+    def __init__(self, items: list[tuple], idf: np.ndarray, most: float, seed: int = 5) -> None:
         self.idf = idf
-        self.words = [(i, words_of(t)) for i, t in items]
-        self.words = [(i, w) for i, w in self.words if len(w) >= LEAST]
-        self.ids = [buckets_of(w) for _, w in self.words]
+        words = [(i, hashes_of(words_of(t))) for i, t in items]
+        self.names, self.whole = [i for i, w in words if len(w) >= LEAST], [w for _, w in words if len(w) >= LEAST]
+        self.ids = [w & (BUCKETS - 1) for w in self.whole]
+        # Short items by their first word.
+        self.short: dict[int, list[tuple]] = {}
+        for i, w in words:
+            if 0 < len(w) < LEAST and idf[w & (BUCKETS - 1)].sum() >= most + RARE:
+                self.short.setdefault(int(w[0]), []).append((i, w))
+        self.short_heads = np.array(sorted(self.short), np.int64)
         terms = np.unique(np.concatenate(self.ids)) if self.ids else np.zeros(0, np.int64)
         self.column = np.full(BUCKETS, -1, np.int32)
         self.column[terms] = np.arange(len(terms))
-        self.terms = len(terms)
+        self.terms, self.weight = len(terms), idf[terms].astype(np.float32)
         self.owner, rows = [], []
         for k, ids in enumerate(self.ids):
             for s in cut(len(ids), ITEM):
                 self.owner.append(k)
                 rows.append(ids[s : s + ITEM])
         self.rows, self.owner = rows, np.array(self.owner, np.int64)
+        # The sketch's sign matrix: one column and sign a term.
+        self.width = min(RANK + EXTRA, self.terms)
+        rng = np.random.default_rng(seed)
+        self.side = rng.integers(0, max(1, self.width), self.terms) if self.terms > self.width else np.arange(self.terms)
+        self.sign = rng.choice(np.array([-1.0, 1.0], np.float32), self.terms) if self.terms > self.width else np.ones(self.terms, np.float32)
         self._index()
 
     def _index(self) -> None:
@@ -172,27 +193,43 @@ class Space:
         return out
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            ids = buckets_of(words_of(text)).astype(np.int32)
-            out += [ids[s : s + PASSAGE] for s in cut(len(ids), PASSAGE)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["ids"])
-
-
-def _gram(space, basis):
-    """Partial sums of A'(A basis), a row for each run of PART terms."""
+def _sketch(shared):
+    """Partial sums of the passages' A'(A S), S the sign matrix, a row for each run of PART terms; part -1 counts passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, b, total = space.value, basis.value, None
+        space = shared.value
+        total, n = np.zeros(space.terms * space.width, np.float32), 0
+
+        def add(rows: np.ndarray) -> None:
+            at, place = np.nonzero(rows >= 0)
+            col = rows[at, place]
+            weight = space.weight[col]
+            # All ordered pairs of hits of a passage.
+            many = np.bincount(at, minlength=len(rows))
+            first = np.concatenate(([0], np.cumsum(many)))[:-1]
+            left = np.repeat(np.arange(len(col)), many[at])
+            right = first[at[left]] + np.arange(len(left)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
+            np.add.at(total, col[left] * space.width + space.side[col[right]], weight[left] * weight[right] * space.sign[col[right]])
+
         for batch in batches:
-            rows = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in batch.column("ids")]
-            if rows:
-                part = s.back(rows, s.times(rows, b))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(0, len(total), PART), pa.int32()), pa.array([total[i : i + PART].ravel() for i in range(0, len(total), PART)], pa.list_(pa.float32()))], names=["part", "sums"])
+            held, size = [], 0
+            for text in batch.column("text"):
+                col = space.column[buckets_of(words_of(text.as_py()))]
+                rows = -(-len(col) // PASSAGE)
+                n += rows
+                held.append(np.concatenate((col, np.full(rows * PASSAGE - len(col), -1, col.dtype))).reshape(rows, PASSAGE))
+                size += rows
+                if size >= 1000:
+                    whole = np.concatenate(held).astype(np.int64)
+                    for lo in range(0, len(whole), 1000):
+                        add(whole[lo : lo + 1000])
+                    held, size = [], 0
+            if held:
+                add(np.concatenate(held).astype(np.int64))
+        if n:
+            run_of = PART * space.width
+            parts = [total[i : i + run_of] for i in range(0, len(total), run_of)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(parts))], pa.int32()), pa.array([np.array([n], np.float32), *parts], pa.list_(pa.float32()))], names=["part", "sums"])
 
     return run
 
@@ -205,22 +242,31 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"][:1].cast(pa.int32()), "sums": pa.array([total], pa.list_(pa.float32()))})
 
 
-def latent_basis(space: Space, passages: DataFrame, seed: int = 7) -> np.ndarray:
-    """terms x k orthonormal columns: the leading right singular vectors of windows and passages."""
-    spark = passages.sparkSession
-    k = min(RANK + EXTRA, max(1, space.terms))
-    basis = np.random.default_rng(seed).normal(size=(space.terms, k)).astype(np.float32)
-    shared = spark.sparkContext.broadcast(space)
-    factor = CORPUS * len(space.rows) / max(1, passages.count())
+def corpus_factor(space: Space, docs: DataFrame) -> tuple[np.ndarray, float]:
+    """(B, n): B B' approximates the Gram matrix of all n passages of the corpus."""
+    shared = docs.sparkSession.sparkContext.broadcast(space)
+    got = docs.select("text").mapInArrow(_sketch(shared), "part int, sums array<float>").groupBy("part").applyInArrow(_add, "part int, sums array<float>").collect()
+    sums = {r["part"]: np.asarray(r["sums"], np.float32) for r in got}
+    shared.unpersist()
+    if -1 not in sums:
+        return np.zeros((space.terms, 1), np.float32), 0.0
+    y = np.concatenate([sums[i] for i in range(len(sums) - 1)]).reshape(space.terms, space.width).astype(np.float64)
+    core = np.zeros((space.width, space.width))
+    np.add.at(core, space.side, y * space.sign[:, None])
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-6 * max(values.max(), 1e-12)
+    return (y @ (vectors[:, good] / np.sqrt(values[good]))).astype(np.float32), float(sums[-1][0])
+
+
+def latent_basis(space: Space, docs: DataFrame, seed: int = 7) -> np.ndarray:
+    """terms x k orthonormal columns: the leading right singular vectors of the windows and, by their sketch, all passages."""
+    factor, n = corpus_factor(space, docs)
+    factor *= np.sqrt(CORPUS * len(space.rows) / max(1.0, n))
+    basis = np.random.default_rng(seed).normal(size=(space.terms, space.width)).astype(np.float32)
     for _ in range(ROUNDS + 1):
         q, _ = np.linalg.qr(basis)
         q = q.astype(np.float32)
-        send = spark.sparkContext.broadcast(q)
-        sums = passages.mapInArrow(_gram(shared, send), "part int, sums array<float>").groupBy("part").applyInArrow(_add, "part int, sums array<float>").collect()
-        basis = space.back(space.rows, space.times(space.rows, q))
-        for r in sums:
-            basis[r["part"] : r["part"] + PART] += factor * np.asarray(r["sums"], np.float32).reshape(-1, q.shape[1])
-        send.unpersist()
+        basis = space.back(space.rows, space.times(space.rows, q)) + factor @ (factor.T @ q)
     # Rayleigh-Ritz in the last range: q'A'A q.
     values, vectors = np.linalg.eigh((q.T @ basis + basis.T @ q) / 2)
     return (q @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
@@ -238,11 +284,11 @@ _SEEN = np.zeros(BUCKETS, bool)
 
 
 def verify(item: np.ndarray, near: np.ndarray, idf: np.ndarray) -> tuple[bool, float]:
-    weight = idf[item].astype(np.float64) + 1e-6
+    weight = idf[item & (BUCKETS - 1)].astype(np.float64) + 1e-6
     # No subsequence weighs more than the words that both have.
-    _SEEN[near] = True
-    both = _SEEN[item]
-    _SEEN[near] = False
+    _SEEN[near & (BUCKETS - 1)] = True
+    both = _SEEN[item & (BUCKETS - 1)]
+    _SEEN[near & (BUCKETS - 1)] = False
     if weight[both].sum() < LIKELY * weight.sum():
         return False, 0.0
     share = weighted_lcs(item, weight, near) / weight.sum()
@@ -252,58 +298,78 @@ def verify(item: np.ndarray, near: np.ndarray, idf: np.ndarray) -> tuple[bool, f
     return weighted_lcs(tail, weight[-ANSWER:], near) >= 0.8 * weight[-ANSWER:].sum(), share
 
 
-def near(space: Space, basis: np.ndarray, windows: np.ndarray, some: list[tuple[int, int, np.ndarray, bool]], found: dict) -> None:
-    """Candidates among passages (document, start, its ids, whether to go by cosine) checked; ``found`` gets the best share of each pair."""
+def energies(rows: np.ndarray, idf: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared TF-IDF norms of passages (buckets, -1 where a row is shorter): of all terms, and of the benchmark's."""
+    rows = np.sort(rows, axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    at, flat = np.nonzero(new)[0], rows[new]
+    times = np.diff(np.append(np.flatnonzero(new.ravel()), rows.size))
+    e = np.where(flat >= 0, (times * idf[flat].astype(np.float64)) ** 2, 0.0)
+    return np.bincount(at, e, len(rows)), np.bincount(at, np.where(column[flat] >= 0, e, 0.0), len(rows))
+
+
+def near(space: Space, basis: np.ndarray, windows: np.ndarray, some: list[tuple[int, int, np.ndarray]], found: dict) -> None:
+    """Candidates among passages (document, start, hashes of its words) checked; ``found`` gets the share of each pair."""
     if not some:
         return
-    row, window = space.holding([ids[s : s + PASSAGE] for _, s, ids, _ in some])
-    latent = np.fromiter((x[3] for x in some), bool, len(some))
+    passages = [ids[s : s + PASSAGE] & (BUCKETS - 1) for _, s, ids in some]
+    row, window = space.holding(passages)
+    table = np.full((len(some), PASSAGE), -1, np.int64)
+    lens = np.fromiter(map(len, passages), np.int64, len(passages))
+    table[np.arange(PASSAGE) < lens[:, None]] = np.concatenate(passages)
+    whole, inside = energies(table, space.idf, space.column)
+    latent = inside >= NEAR * NEAR * whole * (1 - 1e-6)
     keep = latent.copy()
     keep[row] = True
-    held, row = [x[:3] for x, k in zip(some, keep, strict=True) if k], (np.cumsum(keep) - 1)[row]
-    if not held:
+    kept = np.flatnonzero(keep)
+    if not len(kept):
         return
-    p = space.times([ids[s : s + PASSAGE] for _, s, ids in held], basis)
-    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
+    p = space.times([passages[i] for i in kept], basis)
+    p /= np.maximum(np.sqrt(whole[kept]), 1e-9)[:, None].astype(np.float32)
     cos = p @ windows.T
-    met = (cos >= NEAR) & latent[keep][:, None]
-    met[row, window] = True
+    met = (cos >= NEAR) & latent[kept][:, None]
+    met[(np.cumsum(keep) - 1)[row], window] = True
     for r, j in zip(*np.nonzero(met), strict=True):
-        (i, s, ids), k = held[r], int(space.owner[j])
+        (i, s, ids), k = some[kept[r]], int(space.owner[j])
         known = found.get((i, k), (0.0, 0.0))[0]
         if known < SURE:
-            item = space.ids[k]
+            item = space.whole[k]
             ok, share = verify(item, ids[max(0, s - len(item)) : s + PASSAGE + len(item)], space.idf)
             if ok and share > known:
                 found[i, k] = (share, float(cos[r, j]))
 
 
-def _search(shared):
+def short_items(space: Space, ids: np.ndarray) -> list:
+    """Names of short items that stand in a text word for word."""
+    out = []
+    for at in np.flatnonzero(np.isin(ids, space.short_heads)).tolist() if len(space.short_heads) else ():
+        out += [i for i, w in space.short[int(ids[at])] if np.array_equal(ids[at : at + len(w)], w)]
+    return out
+
+
+def _search(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, basis, windows = shared.value
-        energy = space.idf.astype(np.float64) ** 2
-        inside = np.where(space.column >= 0, energy, 0.0)
         for batch in batches:
-            names, found = batch.column("doc_id").to_pylist(), {}
-            held: list[tuple[int, int, np.ndarray, bool]] = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = buckets_of(words_of(text))
-                starts = cut(len(ids), PASSAGE)
-                ends = np.minimum(starts + PASSAGE, len(ids))
-                e, v = np.concatenate(([0.0], np.cumsum(energy[ids]))), np.concatenate(([0.0], np.cumsum(inside[ids])))
-                latent = v[ends] - v[starts] >= SHARE * (e[ends] - e[starts])
-                held += [(i, s, ids, c) for s, c in zip(starts.tolist(), latent.tolist(), strict=True)]
+            names, found, best = batch.column("doc_id").to_pylist(), {}, {}
+            held: list[tuple[int, int, np.ndarray]] = []
+            for i, text in enumerate(batch.column("text")):
+                ids = hashes_of(words_of(text.as_py()))
+                for name in short_items(space, ids):
+                    best[i, name] = (1.0, 1.0)
+                if space.rows:
+                    held += [(i, s, ids) for s in cut(len(ids), PASSAGE).tolist()]
                 while len(held) >= 2000:
                     near(space, basis, windows, held[:2000], found)
                     held = held[2000:]
             near(space, basis, windows, held, found)
-            best: dict[tuple, tuple[float, float]] = {}
             for (i, k), x in found.items():
-                at = (i, space.words[k][0])
+                at = (i, space.names[k])
                 best[at] = max(best.get(at, x), x)
             if best:
-                keys, found = sorted(best, key=str), best
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in keys], batch.column("doc_id").type), pa.array([k for _, k in keys], pa.int64()), pa.array([found[x][0] for x in keys]), pa.array([found[x][1] for x in keys])], names=["doc_id", "item_id", "lcs_share", "cosine"])
+                keys = sorted(best, key=str)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in keys], batch.column("doc_id").type), pa.array([k for _, k in keys], kind), pa.array([best[x][0] for x in keys]), pa.array([best[x][1] for x in keys])], names=["doc_id", "item_id", "lcs_share", "cosine"])
 
     return run
 
@@ -311,29 +377,28 @@ def _search(shared):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs_share, cosine): items that a document holds. A document without a leak has no row."""
     spark = docs.sparkSession
-    schema = docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("lcs_share"), F.lit(0.0).alias("cosine")).schema
+    schema = docs.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("lcs_share"), F.lit(0.0).alias("cosine")).schema
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
-    blocks = -(-items.count() // BLOCK)
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(-(-size["n"] // BLOCK), -(-(size["bytes"] or 0) // BYTES))
     if not blocks:
         return spark.createDataFrame([], schema)
-    idf = idf_table(docs)
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    idf, most = idf_table(docs)
     rows = docs.select("doc_id", "text")
-    picked = rows.where(chance < min(1.0, SAMPLE / max(1, docs.count())))
-    passages = materialise(picked.select("text").mapInArrow(_passages, "ids array<int>"), "passages")
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        space = Space([(r["item_id"], r["text"]) for r in mine], idf)
-        if not space.rows:
+        space = Space([(r["item_id"], r["text"]) for r in mine], idf, most)
+        if not space.rows and not space.short:
             continue
-        basis = latent_basis(space, passages)
+        basis = latent_basis(space, docs) if space.rows else np.zeros((0, 1), np.float32)
         windows = space.times(space.rows, basis)
         windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
         shared = spark.sparkContext.broadcast((space, basis, windows))
         # Rows of one id and text find the same, so blocks are put together by both.
         both = rows if blocks == 1 else rows.select(F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).alias("doc_id"), "text")
-        found = both.mapInArrow(_search(shared), schema if blocks == 1 else T.StructType([T.StructField("doc_id", both.schema["doc_id"].dataType), *schema.fields[1:]]))
+        found = both.mapInArrow(_search(shared, kind), schema if blocks == 1 else T.StructType([T.StructField("doc_id", both.schema["doc_id"].dataType), *schema.fields[1:]]))
         if blocks > 1:
             found = found.groupBy("doc_id", "item_id").agg(F.count("*").cast("int").alias("copies"), F.max(F.struct("lcs_share", "cosine")).alias("best"))
         out = found if out is None else out.union(found)
