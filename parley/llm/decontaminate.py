@@ -309,7 +309,22 @@ def energies(rows: np.ndarray, idf: np.ndarray, column: np.ndarray) -> tuple[np.
     return np.bincount(at, e, len(rows)), np.bincount(at, np.where(column[flat] >= 0, e, 0.0), len(rows))
 
 
-def near(space: Space, basis: np.ndarray, windows: np.ndarray, some: list[tuple[int, int, np.ndarray]], found: dict) -> None:
+def project(cols: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``weighted`` that ``cols`` names (-1: none), a sum for each row of ``cols``."""
+    cols = -np.sort(-cols, axis=1)  # hits first
+    hits = (cols >= 0).sum(axis=1)
+    order = np.argsort(-hits, kind="stable")
+    cols, hits = cols[order], hits[order]
+    out = np.zeros((len(cols), weighted.shape[1]), np.float32)
+    for j in range(int(hits.max(initial=0))):
+        some = int(np.searchsorted(-hits, -j))  # rows with more than j hits
+        out[:some] += weighted[cols[:some, j]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def near(space: Space, weighted: np.ndarray, windows: np.ndarray, some: list[tuple[int, int, np.ndarray]], found: dict) -> None:
     """Candidates among passages (document, start, hashes of its words) checked; ``found`` gets the share of each pair."""
     if not some:
         return
@@ -325,7 +340,7 @@ def near(space: Space, basis: np.ndarray, windows: np.ndarray, some: list[tuple[
     kept = np.flatnonzero(keep)
     if not len(kept):
         return
-    p = space.times([passages[i] for i in kept], basis)
+    p = project(np.where(table[kept] >= 0, space.column[table[kept]], -1), weighted)
     p /= np.maximum(np.sqrt(whole[kept]), 1e-9)[:, None].astype(np.float32)
     cos = p @ windows.T
     met = (cos >= NEAR) & latent[kept][:, None]
@@ -351,6 +366,7 @@ def short_items(space: Space, ids: np.ndarray) -> list:
 def _search(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, basis, windows = shared.value
+        weighted = basis * space.weight[:, None]
         for batch in batches:
             names, found, best = batch.column("doc_id").to_pylist(), {}, {}
             held: list[tuple[int, int, np.ndarray]] = []
@@ -361,9 +377,9 @@ def _search(shared, kind: pa.DataType):
                 if space.rows:
                     held += [(i, s, ids) for s in cut(len(ids), PASSAGE).tolist()]
                 while len(held) >= 2000:
-                    near(space, basis, windows, held[:2000], found)
+                    near(space, weighted, windows, held[:2000], found)
                     held = held[2000:]
-            near(space, basis, windows, held, found)
+            near(space, weighted, windows, held, found)
             for (i, k), x in found.items():
                 at = (i, space.names[k])
                 best[at] = max(best.get(at, x), x)
