@@ -3,8 +3,8 @@
 1. Document frequencies of hashed terms over all documents.
 2. Benchmark items are cut into windows of ``ITEM`` words, documents into passages
    of ``PASSAGE`` words, each a TF-IDF vector over the benchmark's terms. One distributed pass over all documents
-   sketches the passages' Gram matrix with a random sign matrix (a Nystrom sketch, summed per task); a randomised
-   SVD (Gaussian range finder, power rounds, Rayleigh-Ritz) of the windows and that sketch gives the latent space.
+   is the range finder of a randomised SVD: each passage is added, with a random sign, to one of the columns of a test product A'S (S sparse, the
+   expectation of A'S S'A is A'A), summed per task. Power rounds and Rayleigh-Ritz over the windows and that product give the latent space.
 3. All overlapping passages of all documents are searched in two ways. A passage and a window meet if their latent cosine
    is ``NEAR`` or more, where the passage has its whole TF-IDF norm, terms outside the benchmark included; so a passage with less than
    ``NEAR`` squared of its energy in benchmark terms can't reach it and isn't projected. They also meet if the passage holds
@@ -97,7 +97,7 @@ def cut(n: int, width: int) -> np.ndarray:
 class Space:
     """Benchmark terms, their weights and the latent basis; windows of the items as unit latent vectors."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, most: float, seed: int = 5) -> None:
+    def __init__(self, items: list[tuple], idf: np.ndarray, most: float) -> None:
         self.idf = idf
         words = [(i, hashes_of(words_of(t))) for i, t in items]
         self.names, self.whole = [i for i, w in words if len(w) >= LEAST], [w for _, w in words if len(w) >= LEAST]
@@ -118,11 +118,7 @@ class Space:
                 self.owner.append(k)
                 rows.append(ids[s : s + ITEM])
         self.rows, self.owner = rows, np.array(self.owner, np.int64)
-        # The sketch's sign matrix: one column and sign a term.
         self.width = min(RANK + EXTRA, self.terms)
-        rng = np.random.default_rng(seed)
-        self.side = rng.integers(0, max(1, self.width), self.terms) if self.terms > self.width else np.arange(self.terms)
-        self.sign = rng.choice(np.array([-1.0, 1.0], np.float32), self.terms) if self.terms > self.width else np.ones(self.terms, np.float32)
         self._index()
 
     def _index(self) -> None:
@@ -194,38 +190,25 @@ class Space:
 
 
 def _sketch(shared):
-    """Partial sums of the passages' A'(A S), S the sign matrix, a row for each run of PART terms; part -1 counts passages."""
+    """Partial sums of A'S over passages, a row for each run of PART terms; part -1 counts passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = shared.value
         total, n = np.zeros(space.terms * space.width, np.float32), 0
-
-        def add(rows: np.ndarray) -> None:
-            at, place = np.nonzero(rows >= 0)
-            col = rows[at, place]
-            weight = space.weight[col]
-            # All ordered pairs of hits of a passage.
-            many = np.bincount(at, minlength=len(rows))
-            first = np.concatenate(([0], np.cumsum(many)))[:-1]
-            left = np.repeat(np.arange(len(col)), many[at])
-            right = first[at[left]] + np.arange(len(left)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
-            np.add.at(total, col[left] * space.width + space.side[col[right]], weight[left] * weight[right] * space.sign[col[right]])
-
         for batch in batches:
-            held, size = [], 0
-            for text in batch.column("text"):
-                col = space.column[buckets_of(words_of(text.as_py()))]
-                rows = -(-len(col) // PASSAGE)
+            for text, key in zip(batch.column("text"), np.asarray(batch.column("key")).view(np.uint64), strict=True):
+                ids = buckets_of(words_of(text.as_py()))
+                if not len(ids):
+                    continue
+                rows = -(-len(ids) // PASSAGE)
                 n += rows
-                held.append(np.concatenate((col, np.full(rows * PASSAGE - len(col), -1, col.dtype))).reshape(rows, PASSAGE))
-                size += rows
-                if size >= 1000:
-                    whole = np.concatenate(held).astype(np.int64)
-                    for lo in range(0, len(whole), 1000):
-                        add(whole[lo : lo + 1000])
-                    held, size = [], 0
-            if held:
-                add(np.concatenate(held).astype(np.int64))
+                # Column and sign of each passage, from its row's hash and its place.
+                dice = (np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ key
+                dice = (dice ^ (dice >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                side, sign = ((dice >> np.uint64(33)) % np.uint64(space.width)).astype(np.int64), np.where(dice >> np.uint64(32) & np.uint64(1), np.float32(1), np.float32(-1))
+                col = space.column[ids]
+                hit = np.flatnonzero(col >= 0)
+                np.add.at(total, col[hit].astype(np.int64) * space.width + side[hit // PASSAGE], space.weight[col[hit]] * sign[hit // PASSAGE])
         if n:
             run_of = PART * space.width
             parts = [total[i : i + run_of] for i in range(0, len(total), run_of)]
@@ -245,17 +228,13 @@ def _add(table: pa.Table) -> pa.Table:
 def corpus_factor(space: Space, docs: DataFrame) -> tuple[np.ndarray, float]:
     """(B, n): B B' approximates the Gram matrix of all n passages of the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    got = docs.select("text").mapInArrow(_sketch(shared), "part int, sums array<float>").groupBy("part").applyInArrow(_add, "part int, sums array<float>").collect()
+    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("key"))
+    got = rows.mapInArrow(_sketch(shared), "part int, sums array<float>").groupBy("part").applyInArrow(_add, "part int, sums array<float>").collect()
     sums = {r["part"]: np.asarray(r["sums"], np.float32) for r in got}
     shared.unpersist()
     if -1 not in sums:
         return np.zeros((space.terms, 1), np.float32), 0.0
-    y = np.concatenate([sums[i] for i in range(len(sums) - 1)]).reshape(space.terms, space.width).astype(np.float64)
-    core = np.zeros((space.width, space.width))
-    np.add.at(core, space.side, y * space.sign[:, None])
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    good = values > 1e-6 * max(values.max(), 1e-12)
-    return (y @ (vectors[:, good] / np.sqrt(values[good]))).astype(np.float32), float(sums[-1][0])
+    return np.concatenate([sums[i] for i in range(len(sums) - 1)]).reshape(space.terms, space.width), float(sums[-1][0])
 
 
 def latent_basis(space: Space, docs: DataFrame, seed: int = 7) -> np.ndarray:
