@@ -39,7 +39,7 @@ CONTROL = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<|", "|>"
 SPECIAL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
 OPEN, CLOSE = {True: "<s>", False: "[INST]"}, {True: "</s>", False: "[/INST]"}
 PARSE = re.compile(r"\\.|\[INST\]|\[/INST\]|<s>|</s>|\n", re.S)
-LEVEL = 16  # hex digits of the hash that a level adds to a path
+LEVEL = 32  # hex digits of the hash that a level adds to a path
 
 
 def escape(text: str) -> str:
@@ -101,7 +101,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves): the tree's nodes with layout, and each conversation's last node.
 
     nodes: path, depth, text, loss, size, seq_start, pos_start, attends array<struct<from,to>>.
-    leaves: conv_id, path. Two different turns share a level's hash with a chance of 2**-64 a pair.
+    leaves: conv_id, path. Two different turns share a level's hash with a chance of 2**-128 a pair.
     """
     spark = conversations.sparkSession
     rows = conversations.select("conv_id", F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row"))

@@ -197,6 +197,29 @@ def test_ledger_scans_only_what_is_new(docs, spark, monkeypatch):
     assert found.count() == 2 and secrets.read_ledger(spark, path).count() == 4
 
 
+@pytest.mark.parametrize("few", [5000, 0])
+def test_a_changed_rule_is_scanned_alone(docs, spark, monkeypatch, few):
+    monkeypatch.setattr(secrets, "FEW", few)
+    path, rows = new_path(spark, "ledger"), docs([(1, "token=abcdefabcdef0123"), (2, "token=abcdefabcdef0123"), (None, "b")])
+    before = sorted(map(str, secrets.findings(rows, path).collect()))
+    monkeypatch.setitem(secrets.VERSIONS, "hex", "9")
+    assert [r["n_hex"] for r in secrets.digests(spark, path).where("spans != ''").collect()] == [0]  # no findings of a rule that isn't in force
+    assert sorted(map(str, secrets.findings(rows, path).collect())) == before
+    scans = sorted((r["rules"], r["spans"]) for r in secrets.read_ledger(spark, path).collect())
+    assert [r for r, _ in scans] == [["assign@1", "access@1", "hex@1", "pem@2", "prefixed@1", "jwt@1", "dsn@1"]] * 2 + [["hex@9"]] * 2
+    assert [x for r, x in scans if r == ["hex@9"]] == ["", "hex:6:22"]
+
+
+def test_findings_of_all_versions_of_a_path(docs, spark):
+    path = new_path(spark, "ledger")
+    for texts in ([(1, "token=abcdefabcdef0123"), (2, "b")], [(1, "clean now"), (2, "b"), (3, "token=abcdefabcdef0123")], [(1, "clean now")]):
+        secrets.update_ledger(docs(texts), path)
+        secrets.record_paths(docs(texts), path)
+    got = secrets.history(spark, path).collect()
+    assert sorted((r["doc_id"], r["spans"]) for r in got) == [(1, "assign:0:22,hex:6:22"), (3, "assign:0:22,hex:6:22")]
+    assert spark.read.parquet(f"{path}/paths").count() == 4 and secrets.history(spark, new_path(spark, "none")).count() == 0
+
+
 def test_redact(docs, odd, spark):
     d = docs([(1, "x token=abcdefabcdef0123 y"), (2, "plain"), (3, None)])
     got = {r["doc_id"]: r for r in secrets.redact(d, new_path(spark, "ledger")).collect()}
