@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,30 @@ def write(df: DataFrame, path: str, mode: str = "error") -> None:
         conf.set(CLEANUP, before)
 
 
+_PATHS: dict[int, tuple[DataFrame, str]] = {}  # materialised tables that may be released, by object
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: no lineage, safe to lose executors."""
     path = new_path(df.sparkSession, tag)
     write(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables whose last reader is done."""
+    for t in tables:
+        drop_path(t.sparkSession, _PATHS.pop(id(t))[1])
+
+
+def last_of(steps: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The written result of ``steps``; all that was materialised on the way is deleted."""
+    before = set(_PATHS)
+    out = materialise(steps(), tag)
+    release(*(t for k, (t, _) in list(_PATHS.items()) if k not in before and t is not out))
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -92,8 +92,10 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", carry:
         F.md5(text).alias("_tie"),
     )
     rows = rows.withColumn("_key", F.col("_draw") / F.col("_weight")).withColumn("_class", F.round(8 * F.log2("_weight"))).drop("_draw", "_weight")
-    rows = materialise(rows, "mix-rows")  # texts are read and counted once
-    classes = rows.groupBy("source", "_class").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    # What the sums need is written once; texts that are carried aren't, they are counted a second time instead.
+    light = materialise(rows if "text" not in keep else rows.drop("_row"), "mix-rows")
+    rows = rows if "text" in keep else light
+    classes = light.groupBy("source", "_class").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     sources = classes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("_n"), F.collect_list(F.struct(F.pow(F.lit(2.0), F.col("_class") / 8).alias("w"), F.col("n").alias("n"))).alias("_classes"))
     plan = source_targets(sources).withColumnRenamed("source", "_source")
     plan = plan.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -101,9 +103,13 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", carry:
     plan = plan.withColumn("_buckets", F.ceil(F.sqrt(F.col("_n"))).cast("double"))
     plan = materialise(plan, "mix-plan")
     plan = F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source")
-    rows = rows.withColumn("_bucket", F.floor(share_below("_key", "_classes") / F.col("_n") * F.col("_buckets"))).drop("_classes", "_n", "_class")
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+
+    def dealt(x: DataFrame) -> DataFrame:
+        x = x.join(plan, x["source"].eqNullSafe(plan["_source"])).drop("_source")
+        return x.withColumn("_bucket", F.floor(share_below("_key", "_classes") / F.col("_n") * F.col("_buckets"))).drop("_classes", "_n", "_class")
+
+    rows = dealt(rows)
+    sums = dealt(light).groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
     rows = rows.join(sums, rows["source"].eqNullSafe(sums["_source"]) & (rows["_bucket"] == sums["_b"])).drop("_source", "_b")
