@@ -131,6 +131,11 @@ def kpi_rollup(events: DataFrame) -> DataFrame:
     return events.agg(cost.alias("cost"), value.alias("value"), (value / F.when(cost == 0, 0.01).otherwise(cost)).alias("ratio"), F.count("*").alias("n"), F.count_if(F.col("error_caught") & F.col("error_severity").isin("high", "critical")).alias("errors_caught"))
 
 
+def of_tier(events: DataFrame, tier: str | None = None) -> DataFrame:
+    """Reviews of one tier; all of them without a tier, or for "all"."""
+    return events if tier in (None, "", "all") else events.where(F.col("escalation_tier") == tier)
+
+
 def verdict(weight: Column, cost: Column) -> Column:
     """struct(ratio, surplus_percent, band) of one review in the calculator."""
     ratio = weight / F.when(cost == 0, 0.01).otherwise(cost)
