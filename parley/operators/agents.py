@@ -102,11 +102,15 @@ def decompose(said: Column, reference: Column) -> Column:
     return F.when(F.size(F.coalesce(listed, F.array().cast("array<string>"))) > 0, clean(listed)).when(F.size(lines) > 0, lines).otherwise(sentences)
 
 
+REPLY = "struct<reply_text:string,confidence:double,ticket_tags:array<string>,requires_human_review:boolean>"
+
+
 def parse_response(raw: Column) -> Column:
-    """struct(response, confidence, ticket_tags) of JSON inside or outside a fence; null if it isn't that, or the confidence isn't within 0 to 1."""
-    body = F.regexp_replace(F.trim(raw), r"(?s)^```(?:json)?\s*|\s*```$", "")
-    got = F.from_json(body, "struct<response:string,confidence:double,ticket_tags:array<string>>")
-    return F.when(got["confidence"].between(0, 1) & got["response"].isNotNull(), got)
+    """The reply (fields of ``REPLY``) of JSON, in a fence anywhere in the text or alone; null if it isn't that, or the confidence isn't within 0 to 1."""
+    fenced = F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+    got = F.from_json(F.when(fenced != "", fenced).otherwise(F.trim(raw)), REPLY)
+    full = F.struct(got["reply_text"].alias("reply_text"), got["confidence"].alias("confidence"), F.coalesce(got["ticket_tags"], F.array().cast("array<string>")).alias("ticket_tags"), F.coalesce(got["requires_human_review"], F.lit(False)).alias("requires_human_review"))
+    return F.when(got["confidence"].between(0, 1) & got["reply_text"].isNotNull(), full)
 
 
 def mask_text(text: str) -> tuple[str, list[str]]:
@@ -125,63 +129,121 @@ def toxicity_of(text: str) -> float:
     return round(min(1.0, max([w for n, w in hits if n], default=0.0) + sum(n * w * 0.1 for n, w in hits)), 4)
 
 
-def validate(raw: str, least_confidence: float = 0.0, toxic: float = 0.7, competitors: list[str] = COMPETITORS) -> dict[str, Any]:
-    """One attempt: personal data masked first, then the contract, ids, competitors and tone; failed validators by name."""
-    masked, kinds = mask_text(raw)
-    body = re.sub(r"(?s)^```(?:json)?\s*|\s*```$", "", masked.strip())
-    failed: list[str] = []
+FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.I | re.S)
+#: What a correction asks for, by the validator that failed.
+ADVICE = {
+    "pii_masking": "Leave out social security and card numbers.",
+    "schema_validation": 'Answer with JSON only: {"reply_text": string, "ticket_tags": [string], "requires_human_review": boolean, "confidence": number from 0 to 1}.',
+    "id_format": f"Write ticket ids as {TICKET_ID}, such as TCKT-123456.",
+    "competitor_check": "Neither recommend nor run down other brands.",
+    "toxicity_check": "Stay polite and professional.",
+}
+
+
+def reply_of(text: str) -> dict[str, Any] | None:
+    """The reply in a text, checked by its contract; null if it isn't one."""
+    fenced = FENCE.search(text)
     try:
-        got = json.loads(body)
-        response, confidence, tags = got["response"], float(got["confidence"]), list(got.get("ticket_tags") or [])
-        if not 0 <= confidence <= 1 or not isinstance(response, str):
-            raise ValueError("confidence")
-    except (ValueError, KeyError, TypeError):
-        return {"ok": False, "failed": ["schema"], "pii": kinds, "response": None, "confidence": None}
-    for t in tags:
-        value = t[3:].strip() if t.startswith("id:") else t if re.match("TCKT-", t, re.I) else None
-        if value is not None and not re.match(TICKET_ID, value):
-            failed.append("id_format")
-            break
-    if competitor_mention(response, competitors):
-        failed.append("competitor")
-    if toxicity_of(response) >= toxic:
-        failed.append("toxicity")
-    if confidence < least_confidence:
-        failed.append("confidence")
-    return {"ok": not failed, "failed": failed, "pii": kinds, "response": response, "confidence": confidence}
+        got = json.loads(fenced[1] if fenced else text.strip())
+        reply, confidence, tags, review = got["reply_text"], got["confidence"], got.get("ticket_tags", []), got.get("requires_human_review", False)
+        confidence = float(confidence)
+        if not (isinstance(reply, str) and isinstance(tags, list) and all(isinstance(t, str) for t in tags) and isinstance(review, bool) and 0 <= confidence <= 1):
+            return None
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return None
+    return {"reply_text": reply, "ticket_tags": tags, "requires_human_review": review, "confidence": confidence}
 
 
-def correction_prompt(raw: str, failed: list[str]) -> str:
-    # Fixed values would bind the wording; the parts are the failed validators, one a line.
-    return "The last answer was not accepted.\n" + "\n".join(f"- {f}" for f in failed) + f"\nAnswer again with JSON only.\nLast answer:\n{raw}"
+def well_formed(value: str) -> bool:
+    return re.match(TICKET_ID, value.strip()) is not None
 
 
-GUARDED = "id string, response string, confidence double, attempts int, escalate boolean, requires_human_review boolean, failed array<string>, pii array<string>"
+def validate(raw: str, toxic: float = 0.7, competitors: list[str] = COMPETITORS) -> dict[str, Any]:
+    """One attempt: personal data masked first, then the contract, ids in tags and text, competitors and tone. ``failed`` has (validator, reason) pairs."""
+    masked, kinds = mask_text(raw)
+    reply, failed = reply_of(masked), []
+    if reply is None:
+        return {"reply": None, "failed": [("schema_validation", "the answer is not the JSON that was asked for")], "pii": kinds, "masked": masked}
+    reply["requires_human_review"] |= bool(kinds)
+    named = [t[3:] if t.startswith("id:") else t for t in reply["ticket_tags"] if t.startswith("id:") or t.upper().startswith("TCKT-")]
+    if not all(map(well_formed, named)):
+        failed.append(("id_format", f"a tag holds a malformed id: {reply['ticket_tags']}"))
+    odd = next((x for x in re.findall(r"\bTCKT-\w+\b", reply["reply_text"], re.I | re.A) if not well_formed(x)), None)
+    if odd:
+        failed.append(("id_format", f"the reply holds a malformed id: {odd}"))
+    rival = competitor_mention(reply["reply_text"], competitors)
+    if rival:
+        failed.append(("competitor_check", f"the reply judges {rival}"))
+    score = toxicity_of(reply["reply_text"])
+    if score >= toxic:
+        failed.append(("toxicity_check", f"the reply's toxicity is {score:.2f}, {toxic} or more"))
+    return {"reply": reply, "failed": failed, "pii": kinds, "masked": masked}
+
+
+def correction_prompt(last: str, failed: list[tuple[str, str]]) -> str:
+    """What was wrong, what to do about it, and the last answer."""
+    wrong, names = "\n".join(f"- {reason}" for _, reason in failed), {name for name, _ in failed}
+    return f"Your last answer was not accepted:\n{wrong}\n\nPlease change it:\n" + "\n".join(f"- {text}" for name, text in ADVICE.items() if name in names) + f"\n\nLast answer:\n{last}"
+
+
+GUARDED = "id string, validated boolean, reply_text string, ticket_tags array<string>, requires_human_review boolean, confidence double, escalate boolean, reason string, failed_validators array<string>, failure_reasons array<string>, retry_count int, masked_pii_types array<string>"
+
+
+def guarded(raw: str | None, retry: Callable[[str], str] | None, retries: int = 2) -> tuple:
+    """One answer through at most ``retries`` corrections, as the columns of ``GUARDED`` after the id."""
+    if raw is None or not raw.strip():
+        return (False, None, None, None, None, True, "the answer is empty", ["empty_input"], ["the answer is empty"], 0, [])
+    text, pii = raw, []
+    for n in range(retries + 1):
+        got = validate(text)
+        pii += [k for k in got["pii"] if k not in pii]
+        if not got["failed"]:
+            r = got["reply"]
+            return (True, r["reply_text"], r["ticket_tags"], r["requires_human_review"], r["confidence"], False, None, [], [], n, pii)
+        if n == retries or retry is None:
+            break
+        try:
+            text = retry(correction_prompt(got["masked"], got["failed"]))
+        except Exception:
+            break
+        if text is None or not text.strip():
+            break
+    names, reasons = list(dict.fromkeys(name for name, _ in got["failed"])), [reason for _, reason in got["failed"]]
+    return (False, None, None, None, None, True, f"not valid after {n} retries: " + "; ".join(reasons), names, reasons, n, pii)
 
 
-def validate_and_correct(rows: DataFrame, retry: Callable[[str], str], retries: int = 2) -> DataFrame:
-    """Rows (id, raw) through at most ``retries`` corrections. Personal data alone passes, for a human to review; what stays invalid has no response and escalates."""
+def validate_and_correct(rows: DataFrame, retry: Callable[[str], str] | None = None, retries: int = 2) -> DataFrame:
+    """Rows (id, raw) through the guard. Masked personal data alone passes, for a human to review; what stays invalid has no reply and escalates."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for i, raw in zip(f["id"], f["raw"], strict=True):
-                text, pii, got, n = raw or "", [], {}, 0
-                for n in range(retries + 1):
-                    got = validate(text)
-                    pii += [k for k in got["pii"] if k not in pii]
-                    if got["ok"] or n == retries:
-                        break
-                    try:
-                        text = retry(correction_prompt(text, got["failed"]))
-                    except Exception:
-                        break
-                out.append((i, got["response"] if got["ok"] else None, got["confidence"] if got["ok"] else None, n + 1, not got["ok"], bool(pii) or not got["ok"], got["failed"], pii))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in GUARDED.split(", ")])
+            yield pd.DataFrame([(i, *guarded(raw, retry, retries)) for i, raw in zip(f["id"], f["raw"], strict=True)], columns=[c.split()[0] for c in GUARDED.split(", ")])
 
     return rows.select(F.col("id").cast("string").alias("id"), "raw").mapInPandas(run, GUARDED)
 
 
+def swap_verdicts(pairs: DataFrame, judge: Callable[[str, str, str], str]) -> DataFrame:
+    """Pairs (item_id, query, a, b) judged in both orders, each order asked again once if it fails: (item_id, forward, backward, verdict)."""
+    from parley.operators.evaluation import swap_verdict
+
+    @F.pandas_udf("string")
+    def ask(q: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(*args: str) -> str | None:
+            for _ in range(2):
+                try:
+                    said = str(judge(*args)).strip().lower()
+                except Exception:
+                    continue
+                if said in ("position_1", "position_2", "tie"):
+                    return said
+            return None
+
+        return pd.Series([one(*args) for args in zip(q, x, y, strict=True)], dtype="object")
+
+    both = pairs.select("item_id", ask("query", "a", "b").alias("forward"), ask("query", "b", "a").alias("backward"))
+    return both.withColumn("verdict", swap_verdict(F.col("forward"), F.col("backward")))
+
+
 TURNS = "thread_id string, turn int, rail string, response string"
 
 

@@ -334,12 +334,28 @@ def test_taxonomy(spark, one):
 
 
 def test_guard_loop(spark):
-    good = '```json\n{"response": "Card 4111 1111 1111 1111 noted", "confidence": 0.9, "ticket_tags": []}\n```'
-    rows = spark.createDataFrame([("1", "nonsense"), ("2", good), ("3", '{"response": "you are an idiot", "confidence": 0.9}'), ("4", None)], "id string, raw string")
-    got = {r["id"]: r for r in agents.validate_and_correct(rows, lambda p: '{"response": "Fine", "confidence": 0.8}' if "nonsense" in p else "bad").collect()}
-    assert got["1"]["response"] == "Fine" and got["1"]["attempts"] == 2
-    assert "[REDACTED_CREDIT_CARD]" in got["2"]["response"] and got["2"]["requires_human_review"] and not got["2"]["escalate"]
-    assert got["3"]["response"] is None and got["3"]["escalate"] and got["3"]["attempts"] == 3 and got["4"]["escalate"]
+    """The payload of the contract: reply_text and confidence, tags and review optional."""
+    good = 'Sure:\n```json\n{"reply_text": "Card 4111 1111 1111 1111 noted", "confidence": 0.9, "ticket_tags": []}\n```\nBye'
+    rows = spark.createDataFrame(
+        [("1", "nonsense"), ("2", good), ("3", '{"reply_text": "you are an idiot, TCKT-12", "confidence": 0.9}'), ("4", None), ("5", '{"reply_text": "ok", "confidence": 1.5}'), ("6", '{"reply_text": "TCKT-123456", "confidence": 1, "ticket_tags": ["id:TCKT-1"]}'), ("7", '{"reply_text": "x", "ticket_tags": "y", "confidence": 0.5}')],
+        "id string, raw string",
+    )
+    asked = lambda p: '{"reply_text": "Fine", "confidence": 0.8}' if "nonsense" in p and "JSON only" in p else None if "1.5" in p else "bad"
+    got = {r["id"]: r for r in agents.validate_and_correct(rows, asked).collect()}
+    assert got["1"]["reply_text"] == "Fine" and got["1"]["retry_count"] == 1 and got["1"]["validated"]
+    assert "[REDACTED_CREDIT_CARD]" in got["2"]["reply_text"] and got["2"]["requires_human_review"] and got["2"]["masked_pii_types"] == ["credit_card"] and not got["2"]["escalate"]
+    assert got["3"]["reply_text"] is None and got["3"]["escalate"] and got["3"]["retry_count"] == 2 and got["3"]["failed_validators"] == ["schema_validation"]
+    assert (got["4"]["failed_validators"], got["4"]["retry_count"]) == (["empty_input"], 0) and got["5"]["retry_count"] == 0 and got["7"]["escalate"]
+    alone = {r["id"]: r["failed_validators"] for r in agents.validate_and_correct(rows).collect()}
+    assert alone["3"] == ["id_format", "toxicity_check"] and alone["6"] == ["id_format"] and alone["2"] == []
+    prompt = agents.correction_prompt("was", [("toxicity_check", "rude"), ("id_format", "odd")])
+    assert "- rude" in prompt and "TCKT-123456" in prompt and "polite" in prompt and prompt.endswith("was") and "JSON" not in prompt
+
+
+def test_swapped_judge(spark):
+    rows = spark.createDataFrame([("1", "q", "long one", "s"), ("2", "q", "x", "x"), ("3", "first", "x", "y"), ("4", "bad", "x", "y")], "item_id string, query string, a string, b string")
+    judge = lambda q, x, y: {"first": "POSITION_1 ", "bad": "?"}.get(q) or ("tie" if x == y else "position_1" if len(x) > len(y) else "position_2")
+    assert {r["item_id"]: r["verdict"] for r in agents.swap_verdicts(rows, judge).collect()} == {"1": "a", "2": "tie", "3": "inconsistent", "4": "failed"}
 
 
 def test_turns(spark):
@@ -364,8 +380,8 @@ def test_parsing(one):
     assert one(agents.decompose, '["a b", "c"]', "x.", kinds=["string", "string"]) == ["a b", "c"]
     assert one(agents.decompose, "- a\n2. b", "x.", kinds=["string", "string"]) == ["a", "b"]
     assert one(agents.decompose, None, "One. Two.", kinds=["string", "string"]) == ["One.", "Two."]
-    assert one(agents.parse_response, '```json\n{"response": "r", "confidence": 0.5}\n```')["response"] == "r"
-    assert one(agents.parse_response, '{"response": "r", "confidence": 1.5}') is None
+    assert one(agents.parse_response, 'so: ```json\n{"reply_text": "r", "confidence": 0.5}\n``` ok')["reply_text"] == "r"
+    assert one(agents.parse_response, '{"reply_text": "r", "confidence": 1.5}') is None
 
 
 # Files
