@@ -35,7 +35,7 @@ from parley.llm._shared import crc_fold, documents, fresh
 BUCKETS, TERMS, FACTORS, SAMPLE, FOLDS = 1 << 20, 1024, 6, 20_000, 5
 WORDS = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7)
-MEMO = 400_000
+MEMO = 100_000
 
 
 def hashed(word: str) -> tuple[int, list[int]]:
