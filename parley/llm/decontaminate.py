@@ -51,6 +51,7 @@ CORPUS = 0.1  # weight of the corpus in the latent space, against the windows
 NEAR = 0.4
 SURE, LIKELY, ANSWER = 0.55, 0.4, 8
 PART = 4096
+TOGETHER = 2000  # passages compared at once
 #: Bytes between words: ASCII other than letters and digits. Other characters are letters here.
 BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -67,26 +68,6 @@ def buckets_of(words: list[bytes] | set[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (BUCKETS - 1)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums, n = np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            sums[buckets_of(set(words_of(text)))] += 1
-            n += 1
-    if n:
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, [-1]))), pa.array(np.concatenate((sums[at], [n])))], names=["bucket", "n"])
-
-
-def idf_table(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """IDF of every bucket, BUCKETS numbers whatever the corpus, and the most that a bucket can have."""
-    got = docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    at, n = np.asarray(got["bucket"]), np.asarray(got["n"])
-    total, df = n[at < 0].sum(), np.zeros(BUCKETS)
-    df[at[at >= 0]] = n[at >= 0]
-    return np.log((total + 2) / (df + 1)).astype(np.float32), float(np.log(total + 2))
-
-
 def cut(n: int, width: int) -> np.ndarray:
     """Starts of windows of ``width`` at half strides that cover n words; the last one ends with them."""
     if n <= width:
@@ -97,21 +78,14 @@ def cut(n: int, width: int) -> np.ndarray:
 class Space:
     """Benchmark terms, their weights and the latent basis; windows of the items as unit latent vectors."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, most: float) -> None:
-        self.idf = idf
-        words = [(i, hashes_of(words_of(t))) for i, t in items]
-        self.names, self.whole = [i for i, w in words if len(w) >= LEAST], [w for _, w in words if len(w) >= LEAST]
+    def __init__(self, items: list[tuple]) -> None:
+        self.words = [(i, hashes_of(words_of(t))) for i, t in items]
+        self.names, self.whole = [i for i, w in self.words if len(w) >= LEAST], [w for _, w in self.words if len(w) >= LEAST]
         self.ids = [w & (BUCKETS - 1) for w in self.whole]
-        # Short items by their first word.
-        self.short: dict[int, list[tuple]] = {}
-        for i, w in words:
-            if 0 < len(w) < LEAST and idf[w & (BUCKETS - 1)].sum() >= most + RARE:
-                self.short.setdefault(int(w[0]), []).append((i, w))
-        self.short_heads = np.array(sorted(self.short), np.int64)
         terms = np.unique(np.concatenate(self.ids)) if self.ids else np.zeros(0, np.int64)
         self.column = np.full(BUCKETS, -1, np.int32)
         self.column[terms] = np.arange(len(terms))
-        self.terms, self.weight = len(terms), idf[terms].astype(np.float32)
+        self.terms, self.buckets = len(terms), terms
         self.owner, rows = [], []
         for k, ids in enumerate(self.ids):
             for s in cut(len(ids), ITEM):
@@ -119,6 +93,16 @@ class Space:
                 rows.append(ids[s : s + ITEM])
         self.rows, self.owner = rows, np.array(self.owner, np.int64)
         self.width = min(RANK + EXTRA, self.terms)
+
+    def weigh(self, idf: np.ndarray, most: float) -> None:
+        """All that the corpus's IDF decides; ``most`` is what a single word can have."""
+        self.idf, self.weight = idf, idf[self.buckets].astype(np.float32)
+        # Short items by their first word.
+        self.short: dict[int, list[tuple]] = {}
+        for i, w in self.words:
+            if 0 < len(w) < LEAST and idf[w & (BUCKETS - 1)].sum() >= most + RARE:
+                self.short.setdefault(int(w[0]), []).append((i, w))
+        self.short_heads = np.array(sorted(self.short), np.int64)
         self._index()
 
     def _index(self) -> None:
@@ -143,12 +127,9 @@ class Space:
         self.window, self.share = np.array(window, np.int64)[order], np.array(share)[order]
         self.first = np.searchsorted(np.array(term, np.int64)[order], np.arange(self.terms + 1))
 
-    def holding(self, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All (passage, window) where the passage holds terms of LIKELY of the window's weight."""
-        lens = np.fromiter(map(len, passages), np.int64, len(passages))
-        col = self.column[np.concatenate(passages)].astype(np.int64)
-        key = np.unique((np.repeat(np.arange(len(passages)), lens) * self.terms + col)[col >= 0])
-        row, col = key // self.terms, key % self.terms
+    def holding(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (passage, window) where the passage holds terms of LIKELY of the window's weight; terms of passages in order, each once."""
+        key = row * self.terms + col
         n = self.first[col + 1] - self.first[col]
         at = np.repeat(self.first[col] - np.cumsum(n) + n, n) + np.arange(n.sum())
         pair, where = np.unique(np.repeat(row, n) * len(self.rows) + self.window[at], return_inverse=True)
@@ -189,58 +170,71 @@ class Space:
         return out
 
 
-def _sketch(shared):
-    """Partial sums of A'S over passages, a row for each run of PART terms; part -1 counts passages."""
+SURVEY = "part int, sums array<float>, counts array<long>"
+
+
+def _survey(shared):
+    """Partial sums over documents: their number and frequencies by bucket (parts below 0), and A'S of passages without IDF, a row for each run of PART."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = shared.value
-        total, n = np.zeros(space.terms * space.width, np.float32), 0
+        column, terms, width = shared.value
+        total, seen, n = np.zeros(terms * width, np.float32), np.zeros(BUCKETS, np.int64), 0
+        place = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for text, key in zip(batch.column("text"), np.asarray(batch.column("key")).view(np.uint64), strict=True):
                 ids = buckets_of(words_of(text.as_py()))
+                n += 1
                 if not len(ids):
                     continue
-                rows = -(-len(ids) // PASSAGE)
-                n += rows
+                order = np.arange(len(ids))
+                place[ids] = order
+                seen[ids[place[ids] == order]] += 1  # each bucket once
+                if not terms:
+                    continue
                 # Column and sign of each passage, from its row's hash and its place.
-                dice = (np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ key
+                dice = (np.arange(1, -(-len(ids) // PASSAGE) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ key
                 dice = (dice ^ (dice >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                side, sign = ((dice >> np.uint64(33)) % np.uint64(space.width)).astype(np.int64), np.where(dice >> np.uint64(32) & np.uint64(1), np.float32(1), np.float32(-1))
-                col = space.column[ids]
+                side, sign = ((dice >> np.uint64(33)) % np.uint64(width)).astype(np.int64), np.where(dice >> np.uint64(32) & np.uint64(1), np.float32(1), np.float32(-1))
+                col = column[ids]
                 hit = np.flatnonzero(col >= 0)
-                np.add.at(total, col[hit].astype(np.int64) * space.width + side[hit // PASSAGE], space.weight[col[hit]] * sign[hit // PASSAGE])
+                np.add.at(total, col[hit].astype(np.int64) * width + side[hit // PASSAGE], sign[hit // PASSAGE])
         if n:
-            run_of = PART * space.width
-            parts = [total[i : i + run_of] for i in range(0, len(total), run_of)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(parts))], pa.int32()), pa.array([np.array([n], np.float32), *parts], pa.list_(pa.float32()))], names=["part", "sums"])
+            run_of = PART * max(1, width)
+            sums = [total[i : i + run_of] for i in range(0, len(total), run_of)]
+            counts = [seen[i : i + PART] for i in range(0, BUCKETS, PART)]
+            none, zero = np.zeros(0, np.float32), np.zeros(0, np.int64)
+            parts = pa.array([-1, *(-2 - i for i in range(len(counts))), *range(len(sums))], pa.int32())
+            yield pa.RecordBatch.from_arrays([parts, pa.array([none] * (1 + len(counts)) + sums, pa.list_(pa.float32())), pa.array([np.array([n]), *counts] + [zero] * len(sums), pa.list_(pa.int64()))], names=["part", "sums", "counts"])
 
     return run
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = None
-    for x in table["sums"]:
-        v = np.asarray(x.values)
-        total = v.copy() if total is None else total + v
-    return pa.table({"part": table["part"][:1].cast(pa.int32()), "sums": pa.array([total], pa.list_(pa.float32()))})
-
-
-def corpus_factor(space: Space, docs: DataFrame) -> tuple[np.ndarray, float]:
-    """(B, n): B B' approximates the Gram matrix of all n passages of the corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(space)
+    total = [None, None]
+    for k, name in enumerate(("sums", "counts")):
+        for x in table[name]:
+            v = np.asarray(x.values)
+            total[k] = v.copy() if total[k] is None else total[k] + v
+    return pa.table({"part": table["part"][:1].cast(pa.int32()), "sums": pa.array([total[0]], pa.list_(pa.float32())), "counts": pa.array([total[1]], pa.list_(pa.int64()))})
+
+
+def survey(docs: DataFrame, space: Space | None) -> tuple[np.ndarray, int, np.ndarray]:
+    """(document frequencies by bucket, documents, A'S of the space's terms without IDF); BUCKETS numbers whatever the corpus, and terms x width."""
+    terms, width = (space.terms, space.width) if space else (0, 0)
+    shared = docs.sparkSession.sparkContext.broadcast((space.column if space else None, terms, width))
     rows = docs.select("text", F.xxhash64("doc_id", "text").alias("key"))
-    got = rows.mapInArrow(_sketch(shared), "part int, sums array<float>").groupBy("part").applyInArrow(_add, "part int, sums array<float>").collect()
-    sums = {r["part"]: np.asarray(r["sums"], np.float32) for r in got}
+    got = {r["part"]: r for r in rows.mapInArrow(_survey(shared), SURVEY).groupBy("part").applyInArrow(_add, SURVEY).collect()}
     shared.unpersist()
-    if -1 not in sums:
-        return np.zeros((space.terms, 1), np.float32), 0.0
-    return np.concatenate([sums[i] for i in range(len(sums) - 1)]).reshape(space.terms, space.width), float(sums[-1][0])
+    if not got:
+        return np.zeros(BUCKETS), 0, np.zeros((terms, max(1, width)), np.float32)
+    seen = np.concatenate([np.asarray(got[-2 - i]["counts"]) for i in range(BUCKETS // PART)])
+    sums = [np.asarray(got[i]["sums"], np.float32) for i in range(len(got) - 1 - BUCKETS // PART)]
+    return seen, got[-1]["counts"][0], (np.concatenate(sums) if sums else np.zeros(0, np.float32)).reshape(terms, width)
 
 
-def latent_basis(space: Space, docs: DataFrame, seed: int = 7) -> np.ndarray:
-    """terms x k orthonormal columns: the leading right singular vectors of the windows and, by their sketch, all passages."""
-    factor, n = corpus_factor(space, docs)
-    factor *= np.sqrt(CORPUS * len(space.rows) / max(1.0, n))
+def latent_basis(space: Space, factor: np.ndarray, passages: float, seed: int = 7) -> np.ndarray:
+    """terms x k orthonormal columns: the leading right singular vectors of the windows and, by B = A'S (``factor``), all passages."""
+    factor = factor * space.weight[:, None] * np.float32(np.sqrt(CORPUS * len(space.rows) / max(1.0, passages)))
     basis = np.random.default_rng(seed).normal(size=(space.terms, space.width)).astype(np.float32)
     for _ in range(ROUNDS + 1):
         q, _ = np.linalg.qr(basis)
@@ -277,17 +271,6 @@ def verify(item: np.ndarray, near: np.ndarray, idf: np.ndarray) -> tuple[bool, f
     return weighted_lcs(tail, weight[-ANSWER:], near) >= 0.8 * weight[-ANSWER:].sum(), share
 
 
-def energies(rows: np.ndarray, idf: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared TF-IDF norms of passages (buckets, -1 where a row is shorter): of all terms, and of the benchmark's."""
-    rows = np.sort(rows, axis=1)
-    new = np.ones(rows.shape, bool)
-    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
-    at, flat = np.nonzero(new)[0], rows[new]
-    times = np.diff(np.append(np.flatnonzero(new.ravel()), rows.size))
-    e = np.where(flat >= 0, (times * idf[flat].astype(np.float64)) ** 2, 0.0)
-    return np.bincount(at, e, len(rows)), np.bincount(at, np.where(column[flat] >= 0, e, 0.0), len(rows))
-
-
 def project(cols: np.ndarray, weighted: np.ndarray) -> np.ndarray:
     """Sums of the rows of ``weighted`` that ``cols`` names (-1: none), a sum for each row of ``cols``."""
     cols = -np.sort(-cols, axis=1)  # hits first
@@ -303,16 +286,29 @@ def project(cols: np.ndarray, weighted: np.ndarray) -> np.ndarray:
     return back
 
 
-def near(space: Space, weighted: np.ndarray, windows: np.ndarray, some: list[tuple[int, int, np.ndarray]], found: dict) -> None:
-    """Candidates among passages (document, start, hashes of its words) checked; ``found`` gets the share of each pair."""
-    if not some:
-        return
-    passages = [ids[s : s + PASSAGE] & (BUCKETS - 1) for _, s, ids in some]
-    row, window = space.holding(passages)
-    table = np.full((len(some), PASSAGE), -1, np.int64)
-    lens = np.fromiter(map(len, passages), np.int64, len(passages))
-    table[np.arange(PASSAGE) < lens[:, None]] = np.concatenate(passages)
-    whole, inside = energies(table, space.idf, space.column)
+def passages_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of a text's overlapping passages, and their buckets (-1 behind a shorter text)."""
+    starts = cut(len(ids), PASSAGE)
+    if len(ids) < PASSAGE:
+        ids = np.concatenate((ids, np.full(PASSAGE - len(ids), -1, ids.dtype)))
+    return starts, np.where(ids < 0, -1, ids & (BUCKETS - 1)).astype(np.int32)[starts[:, None] + np.arange(PASSAGE)]
+
+
+def near(space: Space, weighted: np.ndarray, windows: np.ndarray, texts: list[np.ndarray], own: np.ndarray, starts: np.ndarray, table: np.ndarray, found: dict) -> None:
+    """Candidates among passages (text, start, buckets) checked; ``found`` gets the share of each pair."""
+    rows = np.sort(table, axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    new &= rows >= 0
+    at, flat = np.nonzero(new)[0], rows[new]
+    # Each distinct term's count: the places up to the next one, which pads never follow.
+    place = np.flatnonzero(new)
+    ends = np.minimum(np.append(place[1:], rows.size), (at + 1) * PASSAGE)
+    e = ((ends - place) * space.idf[flat].astype(np.float64)) ** 2
+    col = space.column[flat]
+    hit = col >= 0
+    whole, inside = np.bincount(at, e, len(rows)), np.bincount(at[hit], e[hit], len(rows))
+    row, window = space.holding(at[hit], col[hit].astype(np.int64))
     latent = inside >= NEAR * NEAR * whole * (1 - 1e-6)
     keep = latent.copy()
     keep[row] = True
@@ -321,15 +317,21 @@ def near(space: Space, weighted: np.ndarray, windows: np.ndarray, some: list[tup
         return
     p = project(np.where(table[kept] >= 0, space.column[table[kept]], -1), weighted)
     p /= np.maximum(np.sqrt(whole[kept]), 1e-9)[:, None].astype(np.float32)
+    # No cosine is above the passage's own length in the latent space.
+    near_ = latent[kept] & (np.sqrt((p * p).sum(axis=1)) >= NEAR * (1 - 1e-4))
+    keep[kept] = near_
+    keep[row] = True
+    p, near_ = p[keep[kept]], near_[keep[kept]]
+    kept = np.flatnonzero(keep)
     cos = p @ windows.T
-    met = (cos >= NEAR) & latent[kept][:, None]
+    met = (cos >= NEAR) & near_[:, None]
     met[(np.cumsum(keep) - 1)[row], window] = True
     for r, j in zip(*np.nonzero(met), strict=True):
-        (i, s, ids), k = some[kept[r]], int(space.owner[j])
+        i, s, k = int(own[kept[r]]), int(starts[kept[r]]), int(space.owner[j])
         known = found.get((i, k), (0.0, 0.0))[0]
         if known < SURE:
             item = space.whole[k]
-            ok, share = verify(item, ids[max(0, s - len(item)) : s + PASSAGE + len(item)], space.idf)
+            ok, share = verify(item, texts[i][max(0, s - len(item)) : s + PASSAGE + len(item)], space.idf)
             if ok and share > known:
                 found[i, k] = (share, float(cos[r, j]))
 
@@ -347,18 +349,29 @@ def _search(shared, kind: pa.DataType):
         space, basis, windows = shared.value
         weighted = basis * space.weight[:, None]
         for batch in batches:
-            names, found, best = batch.column("doc_id").to_pylist(), {}, {}
-            held: list[tuple[int, int, np.ndarray]] = []
+            names, found, best, texts = batch.column("doc_id").to_pylist(), {}, {}, []
+            held, size = [], 0
+
+            def check(found=found, texts=texts) -> None:
+                own, starts, table = (np.concatenate(x) for x in zip(*held, strict=True))
+                for lo in range(0, len(own), TOGETHER):
+                    part = slice(lo, lo + TOGETHER)
+                    near(space, weighted, windows, texts, own[part], starts[part], table[part], found)
+
             for i, text in enumerate(batch.column("text")):
                 ids = hashes_of(words_of(text.as_py()))
+                texts.append(ids)
                 for name in short_items(space, ids):
                     best[i, name] = (1.0, 1.0)
-                if space.rows:
-                    held += [(i, s, ids) for s in cut(len(ids), PASSAGE).tolist()]
-                while len(held) >= 2000:
-                    near(space, weighted, windows, held[:2000], found)
-                    held = held[2000:]
-            near(space, weighted, windows, held, found)
+                if len(ids) and space.rows:
+                    starts, table = passages_of(ids)
+                    held.append((np.full(len(starts), i), starts, table))
+                    size += len(starts)
+                if size >= TOGETHER:
+                    check()
+                    held, size = [], 0
+            if held:
+                check()
             for (i, k), x in found.items():
                 at = (i, space.names[k])
                 best[at] = max(best.get(at, x), x)
@@ -378,16 +391,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = max(-(-size["n"] // BLOCK), -(-(size["bytes"] or 0) // BYTES))
     if not blocks:
         return spark.createDataFrame([], schema)
-    idf, most = idf_table(docs)
     rows = docs.select("doc_id", "text")
     kind = to_arrow_type(benchmark.schema["item_id"].dataType)
-    out = None
+    out = idf = most = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        space = Space([(r["item_id"], r["text"]) for r in mine], idf, most)
+        space = Space([(r["item_id"], r["text"]) for r in mine])
+        if not space.words:
+            continue
+        seen, n, factor = survey(docs, space)
+        if idf is None:
+            idf, most = np.log((n + 2) / (seen + 1)).astype(np.float32), float(np.log(n + 2))
+        space.weigh(idf, most)
         if not space.rows and not space.short:
             continue
-        basis = latent_basis(space, docs) if space.rows else np.zeros((0, 1), np.float32)
+        basis = latent_basis(space, factor, float(seen.sum()) / PASSAGE) if space.rows else np.zeros((0, 1), np.float32)
         windows = space.times(space.rows, basis)
         windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
         shared = spark.sparkContext.broadcast((space, basis, windows))
