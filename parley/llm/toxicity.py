@@ -8,11 +8,12 @@ with a group mention) have a weight of their own that an additive model lacks:
 
     y = b + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^2)
 
-The labelled sample is bounded: the ``SAMPLE`` labelled rows with the smallest hash of their
-id. Term counts come from that sample; the scores cover every row and the whole text.
+The labelled sample is bounded: of the ``SAMPLE`` labelled ids with the smallest hashes, at most ``SAMPLE`` different
+texts (by the hashes of id and text). It is written once and read for each step of the fit. Term counts come from that
+sample; the scores cover every row and the whole text.
 
 Defined results: null and empty texts have no terms and score by the bias; repeated rows are
-scored alike; null ids have fold null, count as not held out and are never learned from;
+scored alike and count once in the sample; null ids have fold null, count as not held out and are never learned from;
 rows of ``labels`` with a null label are ignored and an id with several labels takes the
 largest; without labels of both classes, or without a term that four texts share, every score
 is the constant share of toxic rows (0 if there are none); an empty table gives no rows; extra columns are ignored.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm._shared import crc_fold, documents, fresh
+from parley.llm._shared import crc_fold, documents, fresh, materialise, release
 
 BUCKETS, TERMS, FACTORS, SAMPLE, FOLDS = 1 << 20, 1024, 6, 20_000, 5
 WORDS = re.compile(r"\w+")
@@ -141,11 +142,28 @@ def labelled_sample(labels: DataFrame, label: str, fold_out: int, folds: int, mo
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    # The sample's size is bounded by SAMPLE (16 bytes a row), so it may be broadcast.
+def sample_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc, key, label, text): the sampled ids' different texts, at most SAMPLE of them, written once; doc and key are the hashes that order them."""
+    # The ids are bounded by SAMPLE (16 bytes a row), so they may be broadcast.
     sample = labelled_sample(labels, "toxic", 0, FOLDS, SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    counts = rows.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 4")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.select(F.xxhash64("doc_id").alias("doc"), F.xxhash64("text").alias("key"), "label", "text").dropDuplicates(["doc", "key"])
+    return materialise(rows, "toxic-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Machine:
+    table = sample_texts(docs, labels)
+    order = F.struct("doc", "key")
+    last = table.select("doc", "key").orderBy("doc", "key").limit(SAMPLE).agg(F.max(order).alias("last")).first()["last"]
+    here = order <= F.struct(F.lit(last["doc"]), F.lit(last["key"])) if last else F.lit(False)
+    machine = fitted(table.where(here))
+    release(table)
+    return machine
+
+
+def fitted(rows: DataFrame) -> Machine:
+    """The machine of labelled texts (key, label, text), SAMPLE at most."""
+    counts = rows.select("text", "label").mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 4")
     size = rows.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, pos = size["n"], size["toxic"] or 0
     share = pos / n if n else 0.0
@@ -158,8 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     only = {r["bucket"]: i for i, r in enumerate(best)}
     if not only:
         return flat
-    keyed = rows.withColumn("key", F.xxhash64("text"))
-    got = keyed.mapInArrow(_collect(only), "label int, key long, at array<int>, value array<float>").toArrow()
+    got = rows.select("text", "label", "key").mapInArrow(_collect(only), "label int, key long, at array<int>, value array<float>").toArrow()
     got = got.sort_by([("label", "ascending"), ("key", "ascending")])  # rows arrive in any order; fitting must not depend on it
     x, y = np.zeros((got.num_rows, len(only)), np.float32), np.asarray(got["label"]).astype(np.float32)
     at = got["at"].combine_chunks()
