@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from parley.functions.text import estimate_tokens
 
 KAPPA_GATE, MASS = 0.60, 0.5
+RATIO_VALUES = 50_000  # different scores that a ratio scale compares on the driver
+GRID = 4096  # groups of confidences whose sums are added up in one task
 
 
 # Classification
@@ -53,9 +56,15 @@ def threshold_recall(rows: DataFrame, truth: str, predicted: str, confidence: st
     right = rows.where(F.col(truth) == F.col(predicted)).groupBy(F.col(truth).alias("c"), F.col(confidence).alias("threshold")).agg(F.count("*").alias("hit"))
     gain = right.join(classes, "c").groupBy("threshold").agg(F.sum(F.col("hit") / F.col("n")).alias("gain"))
     steps = rows.select(F.col(confidence).alias("threshold")).union(rows.sparkSession.range(1).select(F.lit(0.0))).distinct().join(gain, "threshold", "left")
-    # One row a distinct confidence is left; the running sum is over those.
-    above = F.sum(F.coalesce("gain", F.lit(0.0))).over(W.orderBy(F.desc("threshold")))
-    return steps.withColumn("g", above).crossJoin(F.broadcast(k)).select("threshold", (F.col("g") / F.col("k")).alias("macro_recall"))
+    # Sums from the top within groups of near confidences; only the groups' own sums go through one window.
+    grid = F.floor(F.col("threshold") * GRID)
+    steps = steps.select("threshold", grid.alias("grid"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    groups = steps.groupBy("grid").agg(F.sum("gain").alias("all"))
+    over = F.coalesce(F.sum("all").over(W.orderBy(F.desc("grid")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    groups = groups.select(F.col("grid").alias("of"), over.alias("over"))
+    own = F.sum("gain").over(W.partitionBy("grid").orderBy(F.desc("threshold")))
+    found = steps.withColumn("g", own).join(groups, F.col("grid").eqNullSafe(F.col("of")))
+    return found.crossJoin(F.broadcast(k)).select("threshold", ((F.col("over") + F.col("g")) / F.col("k")).alias("macro_recall"))
 
 
 def calibrate_threshold(rows: DataFrame, truth: str, predicted: str, confidence: str, target: float = 0.9, reference_compat: bool = True) -> float:
@@ -96,39 +105,60 @@ def judge_calibration(rows: DataFrame, human: str, judge: str, over: float = KAP
     return {"kappa": r["kappa"], "passed": r["kappa"] > over, "n_examples": r["n"], "threshold": over}
 
 
-def coincidences(rows: DataFrame, unit: str, score: str) -> DataFrame:
-    """(c, k, o): Krippendorff's coincidence matrix. Values are counted within units first, so a unit's raters are never paired one by one."""
-    v = rows.where(F.col(score).isNotNull()).groupBy(F.col(unit).alias("u"), F.col(score).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    m = v.groupBy("u").agg(F.sum("n").alias("m")).where("m >= 2")
-    v = v.join(m, "u")
-    a, b = v.select("u", F.col("v").alias("c"), F.col("n").alias("nc"), "m"), v.select("u", F.col("v").alias("k"), F.col("n").alias("nk"))
-    pair = F.when(F.col("c") == F.col("k"), F.col("nc") * (F.col("nc") - 1)).otherwise(F.col("nc") * F.col("nk"))
-    return a.join(b, "u").groupBy("c", "k").agg(F.sum(pair / (F.col("m") - 1)).alias("o"))
+def _pairable(rows: DataFrame, unit: str, score: str) -> DataFrame:
+    """(u, v, m): scores of units with two or more of them, m in number."""
+    v = rows.where(F.col(score).isNotNull()).select(F.col(unit).alias("u"), F.col(score).cast("double").alias("v"))
+    return v.join(v.groupBy("u").agg(F.count("*").alias("m")).where("m >= 2"), "u")
+
+
+def _by_variance(v: DataFrame, x: str) -> tuple[float, float]:
+    """Seen and expected disagreement of squared differences: over pairs they are variances, so no pair is formed."""
+    seen = v.groupBy("u").agg(F.count("*").alias("m"), F.var_samp(x).alias("s")).agg(F.sum(F.col("m") * F.col("s"))).first()[0]
+    n, s = v.agg(F.count("*"), F.var_samp(x)).first()
+    return seen, n * s
+
+
+def _nominal(v: DataFrame) -> tuple[float, float]:
+    unequal = (F.col("m") ** 2 - F.col("same")) / (F.col("m") - 1)
+    per = lambda *unit: v.groupBy(*unit, "v").agg(F.count("*").alias("n")).groupBy(*unit).agg(F.sum("n").alias("m"), F.sum(F.col("n") ** 2).alias("same"))
+    return per("u").agg(F.sum(unequal)).first()[0], per().agg(F.sum(unequal)).first()[0]
+
+
+def _ratio(v: DataFrame) -> tuple[float, float]:
+    """Pairs of different values: within units on the executors, over all units a value at a time on the driver."""
+    delta = lambda c, k: F.when(c + k == 0, 0.0).otherwise(((c - k) / (c + k)) ** 2)
+    n = v.groupBy("u", "m", F.col("v").alias("c")).agg(F.count("*").alias("n"))
+    other = n.select("u", F.col("c").alias("k"), F.col("n").alias("nk"))
+    seen = n.join(other, "u").agg(F.sum(F.col("n") * F.col("nk") * delta(F.col("c"), F.col("k")) / (F.col("m") - 1))).first()[0]
+    got = v.groupBy("v").agg(F.count("*").alias("n")).limit(RATIO_VALUES + 1).collect()
+    if len(got) > RATIO_VALUES:
+        raise ValueError(f"a ratio scale takes at most {RATIO_VALUES} different values")
+    x, many = np.array([r["v"] for r in got]), np.array([r["n"] for r in got], float)
+    chance = 0.0
+    for c, nc in zip(x, many, strict=True):
+        both = c + x
+        chance += nc * float(many @ np.divide(c - x, both, out=np.zeros_like(x), where=both != 0) ** 2)
+    return seen, chance / (many.sum() - 1)
 
 
 def krippendorff_alpha(rows: DataFrame, unit: str = "example_id", rater: str = "annotator_id", score: str = "score", level: str = "ordinal") -> float:
-    """Alpha over a table of scores; a table of categories (the matrix) reaches the driver, not the rows."""
+    """Alpha over a table of scores. An ordinal distance is the difference of mid-ranks, so it is a variance like the interval one."""
     counts = rows.where(F.col(score).isNotNull()).groupBy(unit).agg(F.countDistinct(rater).alias("r"))
     overlap, raters = counts.where("r >= 2").count(), rows.agg(F.countDistinct(rater)).first()[0]
     if overlap < 2 or raters < 2:
         raise ValueError("alpha needs two raters and two examples that two of them rated")
-    o = {(r["c"], r["k"]): r["o"] for r in coincidences(rows, unit, score).collect()}
-    values = sorted({c for c, _ in o})
-    n = {c: sum(o.get((c, k), 0.0) for k in values) for c in values}
-    total = sum(n.values())
-
-    def delta(c: float, k: float) -> float:
-        if level == "nominal":
-            return float(c != k)
-        if level == "interval":
-            return (c - k) ** 2
-        if level == "ratio":
-            return ((c - k) / (c + k)) ** 2 if c + k else 0.0
-        lo, hi = min(c, k), max(c, k)
-        return (sum(n[g] for g in values if lo <= g <= hi) - (n[lo] + n[hi]) / 2) ** 2
-
-    seen = sum(x * delta(c, k) for (c, k), x in o.items())
-    chance = sum(n[c] * n[k] * delta(c, k) for c in values for k in values) / (total - 1)
+    v = _pairable(rows, unit, score)
+    if level == "nominal":
+        seen, chance = _nominal(v)
+    elif level == "ratio":
+        seen, chance = _ratio(v)
+    elif level == "interval":
+        seen, chance = _by_variance(v, "v")
+    else:
+        # One row a distinct value meets the window.
+        n = v.groupBy("v").agg(F.count("*").alias("n"))
+        middle = n.select("v", (F.sum("n").over(W.orderBy("v")) - F.col("n") / 2).alias("x"))
+        seen, chance = _by_variance(v.join(middle, "v"), "x")
     return 1.0 if chance == 0 else 1 - seen / chance
 
 

@@ -12,8 +12,18 @@ def _order(key: str, seed: str) -> Column:
 
 
 def _numbered(rows: DataFrame, key: str, label: str, seed: str) -> DataFrame:
-    w = W.partitionBy(label)
-    return rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(_order(key, seed), key)))
+    """Rows plus _n, the size of their class, and _i, their place in it.
+
+    A class is numbered in 4096 even groups, the first digits of the hash that orders it; one row a group gives the places before it.
+    """
+    tagged = rows.withColumn("_g", F.substring(_order(key, seed), 1, 3))
+    groups = tagged.groupBy(F.col(label).alias("_of"), F.col("_g").alias("_at")).agg(F.count("*").alias("_m"))
+    w = W.partitionBy("_of")
+    before = F.coalesce(F.sum("_m").over(w.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("_of", "_at", F.sum("_m").over(w).alias("_n"), before.alias("_before"))
+    nth = F.row_number().over(W.partitionBy(label, "_g").orderBy(_order(key, seed), key))
+    placed = tagged.withColumn("_i", nth).join(groups, F.col(label).eqNullSafe(F.col("_of")) & F.col("_g").eqNullSafe(F.col("_at")))
+    return placed.withColumn("_i", F.col("_i") + F.col("_before")).drop("_g", "_of", "_at", "_before")
 
 
 def split(rows: DataFrame, key: str, label: str, share: float = 0.2, seed: str = "42") -> DataFrame:

@@ -215,6 +215,45 @@ def test_kappa(spark):
         evaluation.judge_calibration(spark.createDataFrame([(3, 3), (3, 3)], "h int, j int"), "h", "j")
 
 
+def test_krippendorff_equals_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    rows = [(u, r, rng.choice([0.0, 1.0, 2.0, 2.5, 4.0])) for u in range(30) for r in range(rng.randint(1, 4))] + [(3, 9, None)]
+    units = {}
+    for u, _, v in rows:
+        if v is not None:
+            units.setdefault(u, []).append(v)
+    units = [x for x in units.values() if len(x) > 1]
+    n = [v for x in units for v in x]
+    middle = {v: sum(w < v for w in n) + n.count(v) / 2 for v in n}
+    apart = {
+        "nominal": lambda a, b: a != b,
+        "interval": lambda a, b: (a - b) ** 2,
+        "ratio": lambda a, b: ((a - b) / (a + b)) ** 2 if a + b else 0,
+        "ordinal": lambda a, b: (middle[a] - middle[b]) ** 2,
+    }
+    df = spark.createDataFrame(rows, "example_id int, annotator_id int, score double")
+    for level, d in apart.items():
+        seen = sum(sum(d(a, b) for a, b in itertools.permutations(x, 2)) / (len(x) - 1) for x in units)
+        chance = sum(d(a, b) for a, b in itertools.permutations(n, 2)) / (len(n) - 1)
+        assert abs(evaluation.krippendorff_alpha(df, level=level) - (1 - seen / chance)) < 1e-9, level
+
+
+def test_split_numbers_each_class(spark):
+    """Places follow the hash of the key within a class, null classes and keys included."""
+    import hashlib
+
+    rows = [(i, "ab"[i % 7 == 0]) for i in range(500)] + [(900 + i, None) for i in range(9)]
+    got = {r["id"]: r for r in splits._numbered(spark.createDataFrame(rows, "id long, label string"), "id", "label", "42").collect()}
+    for label in ("a", "b", None):
+        mine = sorted((i for i, x in rows if x == label), key=lambda i: hashlib.md5(f"42{i}".encode()).hexdigest())
+        assert [(got[i]["_i"], got[i]["_n"]) for i in mine] == [(k + 1, len(mine)) for k in range(len(mine))]
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a")], "id long, label string")
+    assert sorted(r["_i"] for r in splits._numbered(odd, "id", "label", "42").collect()) == [1, 2, 3]
+
+
 def test_krippendorff_known_value(spark):
     # Four observers, twelve units: a published worked example; ordinal alpha is 0.815.
     rows = {"A": "1 2 3 3 2 1 4 1 2 . . .", "B": "1 2 3 3 2 2 4 1 2 5 . 3", "C": ". 3 3 3 2 3 4 2 2 5 1 .", "D": "1 2 3 3 2 4 4 1 2 5 1 ."}
