@@ -270,7 +270,7 @@ def all_failure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT doc_id, regexp_replace(regexp_replace(c, '^\s+|\s+$', '', 'g'), '^[-*123456789.) ]+|[-*123456789.) ]+$', '', 'g') AS c FROM s)
 SELECT doc_id, count(*) AS n_claims, sum(length(c))::BIGINT AS chars FROM t WHERE length(c) >= 8 AND NOT regexp_matches(c, '(?i)^(hello|hi|hey|greetings|thank you|thanks|sure|okay|here is|here are)\b|^(hope this helps|let me know|regards|best)\b') GROUP BY doc_id""")
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.extract_claims(F.col("text"))).alias("c"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.extract_claims(F.col("text"), like_sql=True)).alias("c"))
     return d.groupBy("doc_id").agg(F.count("*").alias("n_claims"), F.sum(F.length("c")).alias("chars"))
 
 
