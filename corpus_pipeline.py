@@ -1,7 +1,8 @@
 """A training corpus in five stages, each run over all that the one before kept.
 
 toxicity drops what the factorization machine rejects; simhash keeps the smallest id of each
-group of near-duplicates (five-word shingles, Jaccard similarity 0.8 or more, compared exactly); decontaminate drops documents that hold a benchmark item; secrets
+group of near-duplicates: rows whose SimHashes the binary trie self-join links (2 or fewer differing bits), and rows of
+a Jaccard similarity of 0.8 or more over five-word shingles, compared exactly, which 2 bits are too few for; decontaminate drops documents that hold a benchmark item; secrets
 replaces found spans by their kind; mixing gives each document's words taken for the mix.
 Every stage is a function of (spark, docs, sf_dir) and returns the columns of ``documents``
 (the last one adds size, source_size, target and taken).
@@ -15,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm._shared import fresh, last_of, materialise, new_path
+from parley.llm.components import components
 from parley.llm.decontaminate import leaks
 from parley.llm.mixing import mix
 from parley.llm.nearcopies import near_copies, row_key
 from parley.llm.secrets import redact
+from parley.llm.simhash import near_duplicates
 from parley.llm.toxicity import drop_toxic
 
 
@@ -28,14 +31,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: the one of the smallest id, rows without an id after all others; of one id the smallest text hash."""
+    """One row of each group: the one of the smallest id, rows without an id after all others; of one id the smallest text hash.
+
+    A group is joined by chains of links of either kind: the trie's components and the exact near copies' meet at their rows.
+    """
     key = fresh(docs.columns, "key_")[0]
     named = docs.withColumn(key, row_key())
 
     def kept() -> DataFrame:
         # A row's order within its group, without its text.
         names = named.select(F.col(key).alias("k"), F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", key).alias("place")).distinct()
-        groups = near_copies(docs).distinct().join(names, F.col("row_key") == F.col("k")).groupBy("root")
+        prints = near_duplicates(named.select(F.col(key).alias("doc_id"), "text"))
+        prints = prints.select(F.col("doc_id").alias("p"), F.xxhash64(F.lit("print"), "component_id").alias("print")).distinct()
+        both = near_copies(docs).distinct().join(prints, F.col("row_key") == F.col("p")).select("row_key", "root", "print")
+        both = materialise(both, "both-roots")
+        whole = components(both, "root", "print").withColumnRenamed("root", "group")
+        groups = both.join(whole, F.col("root") == F.col("node"), "left").join(names, F.col("row_key") == F.col("k"))
+        groups = groups.groupBy(F.coalesce("group", "root").alias("group"))
         return groups.agg(F.min("place").alias("place")).select(F.col(f"place.{key}").alias("kept_"))
 
     first = last_of(kept, "kept-rows")
