@@ -4,7 +4,7 @@ Vectors get one more component that makes all norms equal (queries get a zero th
 turns the largest inner product into the least distance. Centroids come from a balanced
 k-means of a sample: clusters over the mean size are split until none is above
 ``BALANCE`` times it. Each vector joins the list of its nearest centroid and of further ones
-whose distance is within ``1 + BOUNDARY`` of it (at most ``COPIES``). By the counts of all vectors the
+whose distance is within 1 + one of ``BOUNDARIES`` of it (at most ``COPIES``). By the counts of all vectors the
 lists are laid end to end, neighbouring centroids together, and cut into shards of ``SHARD`` entries; a list that is longer
 spreads over several, so a vector repeated a million times makes no long task.
 
@@ -17,7 +17,8 @@ There are about as many lists as a list has members, ``CENTROIDS`` at most; the
 ``SAMPLE`` vectors or eight a centroid. Every vector is indexed.
 The ratio comes from the data: up to ``ASKED`` sampled vectors are queries whose true neighbours in the
 sample are found by brute force, and it is the least one, ``1 + RATIO`` at least, at which the lists
-kept hold ``TARGET`` of them. A query's lists are added to until they hold k other vectors for sure.
+kept hold ``TARGET`` of them. Of the boundaries the one counts at which those queries meet the fewest
+entries: where most lists must be read, wide replication only repeats vectors. A query's lists are added to until they hold k other vectors for sure.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; shorter vectors
 count as if they ended in zeros; of the rows that repeat an id with equal vectors one
@@ -38,9 +39,10 @@ from parley.llm._shared import materialise
 
 K, EVERY = 20, 20
 SAMPLE, CENTROIDS, FLAT = 20_000, 65_536, 1024  # up to FLAT centroids come from one k-means, more from two levels
-BALANCE, COPIES, BOUNDARY, SHARD = 1.5, 3, 0.05, 4096
-QUERIES, TOGETHER = 2048, 128  # queries that meet a shard in one row, and in one product
+BALANCE, COPIES, BOUNDARIES, SHARD = 1.5, 3, (0.05, 0.02, 0.01, 0.005), 16_384
+QUERIES, TOGETHER = 8192, 64  # queries that meet a shard in one row, and in one product
 RATIO, DEGREE, BEAM = 0.15, 24, 48
+RUN = 64  # neighbouring scores of which the largest stands for all
 ASKED, TARGET = 500, 0.97
 
 
@@ -123,40 +125,60 @@ def lift(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
     return np.concatenate((x, extra[:, None]), axis=1)
 
 
-def _kept(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distances to all centroids, the nearest COPIES of each vector, and which of those lists it joins."""
-    d = np.sqrt(_distances(x, c))
-    near = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
-    best = np.take_along_axis(d, near, axis=1)
-    return d, near, best <= (1 + BOUNDARY) * best[:, :1]
+def _nearest(x: np.ndarray, c: np.ndarray, block: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest COPIES centroids of each vector, nearest first, and their distances."""
+    m = min(COPIES, len(c))
+    near, away = np.zeros((len(x), m), np.int64), np.zeros((len(x), m))
+    turned, norm = -2 * c.T, (c * c).sum(axis=1)
+    for lo in range(0, len(x), block):
+        part = x[lo : lo + block]
+        d = part @ turned
+        d += norm
+        rows = np.arange(len(part))
+        for j in range(m):
+            at = d.argmin(axis=1)
+            near[lo : lo + block, j], away[lo : lo + block, j] = at, d[rows, at]
+            d[rows, at] = np.inf
+    return near, np.sqrt(np.maximum(away + (x * x).sum(axis=1)[:, None], 0))
 
 
-def fitted_ratio(x: np.ndarray, c: np.ndarray, largest: float, k: int, seed: int = 11) -> float:
-    """The ratio at which sampled queries reach TARGET of their true neighbours in the sample ``x``."""
+def _joined(away: np.ndarray, boundary: float) -> np.ndarray:
+    """Which of its nearest lists a vector joins."""
+    return away <= (1 + boundary) * away[:, :1]
+
+
+def fitted(x: np.ndarray, c: np.ndarray, largest: float, k: int, seed: int = 11) -> tuple[float, float]:
+    """(ratio, boundary): the ratio at which sampled queries reach TARGET of their true neighbours in the sample ``x``, and the boundary at which that takes the fewest entries."""
     if len(x) < 2:
-        return RATIO
-    kept = [_kept(lift(x[i : i + 1000], largest, False), c)[1:] for i in range(0, len(x), 1000)]
-    near, joins = np.concatenate([n for n, _ in kept]), np.concatenate([j for _, j in kept])
+        return RATIO, BOUNDARIES[0]
+    near, far = _nearest(lift(x, largest, False), c)
     asked = np.random.default_rng(seed).permutation(len(x))[:ASKED]
     s = x[asked] @ x.T
     s[np.arange(len(asked)), asked] = -np.inf
     m = min(k, len(x) - 1)
     true = np.argpartition(-s, m - 1, axis=1)[:, :m]
     d = np.sqrt(_distances(lift(x[asked], largest, True), c))
+    least = d.min(axis=1)
     away = np.take_along_axis(d[:, None, :], near[true].reshape(len(asked), 1, -1), axis=2).reshape(len(asked), m, -1)
-    away = np.where(joins[true], away, np.inf).min(axis=2) / np.maximum(d.min(axis=1), 1e-12)[:, None]
-    return max(RATIO, float(np.quantile(away, TARGET, method="higher")) - 1 + 1e-9)
+    found = []
+    for boundary in BOUNDARIES:
+        joins = _joined(far, boundary)
+        reach = np.where(joins[true], away, np.inf).min(axis=2) / np.maximum(least, 1e-12)[:, None]
+        ratio = max(RATIO, float(np.quantile(reach, TARGET, method="higher")) - 1 + 1e-9)
+        met = (d <= (1 + ratio) * least[:, None]) @ np.bincount(near[joins], minlength=len(c)).astype(float)
+        found.append((float(met.mean()), ratio, boundary))
+    return min(found, key=lambda f: f[0])[1:]
 
 
-def _assign(shared):
+def _assign(shared, boundary: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, largest = shared.value
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
                 x = matrix(part.column("vector"))
-                _, near, keep = _kept(lift(x, largest, False), graph.c)
-                row, nth = np.nonzero(keep)
+                near, away = _nearest(lift(x, largest, False), graph.c)
+                row, nth = np.nonzero(_joined(away, boundary))
                 yield pa.RecordBatch.from_arrays([pa.array(near[row, nth].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("vector").take(pa.array(row))], names=["list", "vec_id", "vector"])
 
     return run
@@ -195,8 +217,12 @@ def _route(shared, sizes: np.ndarray, k: int, ratio: float):
 
 def best(s: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest of the scores ``s`` of q against x, ids once each; recomputed, so that equal vectors get equal scores."""
-    some = np.flatnonzero(s > -np.inf)
-    m = min(COPIES * k, len(some))
+    m = COPIES * k
+    # The m-th largest of the runs' maxima is no more than the m-th largest score: what is below is passed over at once.
+    tops = np.maximum.reduceat(s, np.arange(0, len(s), RUN)) if len(s) > RUN * m else s[:0]
+    low = np.partition(tops, len(tops) - m)[len(tops) - m] if len(tops) > m else -np.inf
+    some = np.flatnonzero(s >= low - 1e-9 * max(1.0, abs(low))) if low > -np.inf else np.flatnonzero(s > -np.inf)
+    m = min(m, len(some))
     if not m:
         return ids[:0], s[:0]
     edge = np.partition(s[some], len(some) - m)[len(some) - m]
@@ -253,11 +279,11 @@ def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     # Neighbouring centroids get neighbouring numbers, by the direction in which they spread most.
     c = c[np.argsort((c - c.mean(axis=0)) @ np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0], kind="stable")]
     graph = Graph(c)
-    ratio = fitted_ratio(x, graph.c, size["largest"], k)
+    ratio, boundary = fitted(x, graph.c, size["largest"], k)
     # At most CENTROIDS vectors and DEGREE edges each.
     shared = spark.sparkContext.broadcast((graph, size["largest"]))
     kind = rows.schema["vector"].dataType.simpleString()
-    lists = materialise(rows.mapInArrow(_assign(shared), f"list int, vec_id long, vector {kind}"), "lists")
+    lists = materialise(rows.mapInArrow(_assign(shared, boundary), f"list int, vec_id long, vector {kind}"), "lists")
     sizes = np.zeros(len(graph.c), np.int64)
     for r in lists.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row a centroid
         sizes[r["list"]] = r["n"]
