@@ -274,11 +274,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if parts[i]:
                     known = {x["context"]: x["windows"] for x in parts[i]}
                     some = np.flatnonzero(np.isin(c.view(np.int64), np.fromiter(known, np.int64, len(known))))
-                    for j in some:
-                        bits = known[int(c[j : j + 1].view(np.int64)[0])]
-                        w = p[j] + np.array([k2 for k2 in range(SPAN + 1) if bits >> k2 & 1])
-                        np.add.at(gone[i], w, 1)
-                        np.add.at(gone[i], w + LENGTH, -1)
+                    bits = np.fromiter((known[x] for x in c[some].view(np.int64).tolist()), np.int64, len(some))
+                    nth, shifts = np.nonzero(bits[:, None] >> np.arange(SPAN + 1) & 1)
+                    w = p[some][nth] + shifts
+                    np.add.at(gone[i], w, 1)
+                    np.add.at(gone[i], w + LENGTH, -1)
         rows = []
         for i, t in enumerate(texts):
             if i in gone:

@@ -17,9 +17,9 @@ import numpy as np
 LENGTH = 50
 
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order of the keys, and each key's dense rank."""
-    order = np.argsort(keys, kind="stable")
+def _ranks(keys: np.ndarray, stable: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and each key's dense rank, which doesn't depend on the order of ties."""
+    order = np.argsort(keys, kind="stable" if stable else "quicksort")
     new = np.concatenate(([True], keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, bool)
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(new)
@@ -48,14 +48,14 @@ class RunIndex:
         keys = np.zeros(n, np.int64)
         for k in range(7):
             keys = keys * 257 + ahead(text, k)
-        order, rank = _ranks(keys)
         known = 7
         groups = None
         longest = int(lens.max()) + 1 if len(lens) else 0
+        order, rank = _ranks(keys, known >= max(length, longest))
         while known < length or known < longest:
             step = min(known, length - known) if known < length else known
-            order, rank = _ranks(rank * (n + 2) + ahead(rank, step))
             known += step
+            order, rank = _ranks(rank * (n + 2) + ahead(rank, step), known >= max(length, longest))
             if known == length:
                 groups = rank
         # Equal suffixes keep text order, which is the order of their terminators.
@@ -79,26 +79,30 @@ class RunIndex:
         base = total - total[np.searchsorted(self.symbol, self.symbol)]
         self.target = first[self.symbol] + base
         self.run_symbol, self.run_head, self.counts, self.first = symbol, head, counts, first
+        self.run_shift = np.empty(self.runs, np.int64)  # what LF adds to a row of the run
+        self.run_shift[by] = self.target - self.head
         same = groups[order] if n else np.zeros(0, np.int64)
         self.group_head = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1]))) if n else np.zeros(0, np.int64)
         self.group_owner = np.minimum.reduceat(owner, self.group_head) if n else owner
 
     def step(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """LF of rows, and the symbols stepped over (0: a string's start)."""
-        symbol = self.run_symbol[np.searchsorted(self.run_head, rows, "right") - 1]
-        at = np.searchsorted(self.key, symbol * (self.size + 1) + rows, "right") - 1
-        return self.target[at] + rows - self.head[at], symbol
+        run = np.searchsorted(self.run_head, rows, "right") - 1
+        return self.run_shift[run] + rows, self.run_symbol[run]
 
     def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(strings, positions, least owners) for all positions with ``length`` bytes left, from the right."""
         at = np.arange(len(self.lens))
         rows = np.arange(len(self.lens))  # terminators are the first rows
+        # Directories over the rows, for as long as the strings are walked: which run and which group a row is in.
+        run = np.repeat(np.arange(self.runs, dtype=np.int32), np.diff(self.run_head, append=self.size))
+        group = np.repeat(np.arange(len(self.group_head), dtype=np.int32), np.diff(self.group_head, append=self.size))
         for left in range(1, int(self.lens.max(initial=0)) + 1):
             live = self.lens[at] >= left
             at, rows = at[live], rows[live]
-            rows, _ = self.step(rows)
+            rows = rows + self.run_shift[run[rows]]
             if left >= self.length:
-                yield at, self.lens[at] - left, self.group_owner[np.searchsorted(self.group_head, rows, "right") - 1]
+                yield at, self.lens[at] - left, self.group_owner[group[rows]]
 
     def find(self, pattern: bytes) -> tuple[int, int | None]:
         """How often the pattern occurs, and the text position of one occurrence.
